@@ -88,8 +88,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(f"_{i}" for i in range(len(have)))).select(*(F.col(f"_{have.index(n)}").alias(n) for n in names))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns (key, doc_id, text): text is never null and key is unique and ordered as doc_id.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns (key, doc_id, text, *carry): text is never null and key is unique and ordered as doc_id.
 
     Where doc_id is unique and never null, key is doc_id and nothing is moved.
     Else key is the row's place in the order of (doc_id with nulls last, text),
@@ -97,11 +97,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     both get neighbouring places.
     """
     ship(docs.sparkSession)
-    docs = pick(docs, id_col, text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = pick(docs, id_col, text_col, *carry)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
     seen = base.agg(F.count("*").alias("n"), F.count("doc_id").alias("k"), F.count_distinct("doc_id").alias("d")).first()
     if seen.n == seen.d:
-        return base.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return base.select(F.col("doc_id").alias("key"), "doc_id", "text", *carry)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
     ranged = base.repartitionByRange(parts_for(base), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     table, _ = stored(ranged.withColumn("row", F.monotonically_increasing_id() % (1 << 33)), "keys")
@@ -110,13 +110,13 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     for part in sorted(sizes):
         before.append((part, at))
         at += sizes[part]
-    first = docs.sparkSession.createDataFrame(before, "part int, before long")
-    return table.join(F.broadcast(first), "part").select((F.col("before") + F.col("row")).alias("key"), "doc_id", "text")
+    first = docs.sparkSession.createDataFrame(before, "part int, __annalist_before long")
+    return table.join(F.broadcast(first), "part").select((F.col("__annalist_before") + F.col("row")).alias("key"), "doc_id", "text", *carry)
 
 
 def with_ids(out: DataFrame, base: DataFrame) -> DataFrame:
     """The result ``out`` by key with the doc_id of each key of ``keyed`` in its place."""
-    if "before" not in base._jdf.queryExecution().analyzed().toString():
+    if "__annalist_before" not in base._jdf.queryExecution().analyzed().toString():
         return out.withColumnRenamed("key", "doc_id")
     rest = [c for c in out.columns if c != "key"]
     return out.join(base.select("key", "doc_id"), "key").select("doc_id", *rest)

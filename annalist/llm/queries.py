@@ -7,31 +7,85 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.llm.bpe import bpe_encode
+from annalist.llm.jaccard import jaccard_join
 from annalist.llm.lines import line_dedup
+from annalist.llm.packing import pack
+from annalist.llm.quality import MEASURES, quality
 from annalist.llm.suffix import suffix_dedup
 
 
+def tokenizer_path() -> str:
+    """The public word-level BPE vocabulary of this installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
+    "op4_host_quality": op4_host_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op7_pack": op7_pack,
+    "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: Where SQL expresses the contract at a bearable cost on whole tables.
 ORACLES: dict[str, str] = {
+    "op4_host_quality": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        win AS (SELECT r, u.i AS i, u.w AS g FROM (SELECT r, unnest(list_transform(range(1, len(ws) - 6), lambda i: {'i': i, 'w': ws[i:i + 7]})) AS u FROM w WHERE len(ws) >= 8)),
+        rep AS (SELECT r, unnest(i_s) AS i FROM (SELECT r, g, list(i) AS i_s FROM win GROUP BY r, g HAVING count(*) > 1)),
+        cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, range(8) AS x(o) GROUP BY r),
+        m AS (SELECT w.r, doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                     coalesce(cov.n, 0) AS n_repeat_words
+              FROM w LEFT JOIN cov ON w.r = cov.r),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+        f AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words AS failed FROM b),
+        h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM f GROUP BY source),
+        p AS (SELECT least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS m, coalesce(var_samp(k / n), 0) AS v, avg(1 / n) AS u FROM h),
+        q AS (SELECT m, greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, m * (1 - m) * 1e-3) - 1, 1) AS s FROM p),
+        x AS (SELECT source, (k + m * s) / (n + s) > 0.5 AS bad FROM h, q)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT x.bad AS kept
+        FROM f JOIN x ON f.source IS NOT DISTINCT FROM x.source
+    """,
     "op5_line_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         l AS (SELECT doc_id, u.i AS i, u.s AS s, translate(regexp_replace(regexp_replace(u.s, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
