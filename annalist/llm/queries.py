@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.bpe import bpe_encode
+from annalist.llm.ctw import ctw_score
 from annalist.llm.jaccard import jaccard_join
 from annalist.llm.lines import line_dedup
 from annalist.llm.packing import pack
@@ -26,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_score(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_host_quality": op4_host_quality,
     "op5_line_dedup": op5_line_dedup,
