@@ -13,6 +13,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +148,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _partition(x: np.ndarray, n: int) -> np.ndarray:
+    """The partition of n that Spark's hash partitioning sends an integer to (Murmur3, seed 42)."""
+    def turn(v: np.ndarray, r: int) -> np.ndarray:
+        return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+
+    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+
+
+@lru_cache(8)
+def _numbers(n: int) -> np.ndarray:
+    """For each of n partitions the least number that Spark sends there, so that n destinations fill n partitions evenly."""
+    found, at = np.full(n, -1, np.int32), 0
+    while (found < 0).any():
+        x = np.arange(at, at + 4 * n + 64)
+        where, first = np.unique(_partition(x, n), return_index=True)
+        new = found[where] < 0
+        found[where[new]] = x[first[new]]
+        at += len(x)
+    return found
+
+
 def dest_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(keys.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+    """A destination for each key, one per partition of an exchange of n partitions."""
+    return _numbers(n)[(mix64(keys.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)]
 
 
 def _cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -248,15 +276,16 @@ def opened(row: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, byt
 
 
 def meet(rows: DataFrame, n: int, work: Callable[[dict[int, list[tuple[bytes, ...]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Bring packed rows of one ``dest`` to one task; ``work`` gets the partition's cells by kind."""
+    """Bring packed rows of one ``dest`` to one task; ``work`` gets the partition's cells by kind, with ``dest`` as the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
             kinds = batch.column(1).to_pylist()
             cells = [batch.column(2 + i).to_pylist() for i in range(N_COLS)]
+            dests = batch.column(0).to_pylist()
             for i, kind in enumerate(kinds):
-                by.setdefault(kind, []).append(tuple(c[i] for c in cells))
+                by.setdefault(kind, []).append((*(c[i] for c in cells), dests[i]))
         if by:
             yield from work(by)
 

@@ -192,7 +192,7 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, root, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            yield C.packed(C.dest_of(node, 4 * n), [node, root, -(-size // block)], MEMBER)
+            yield C.packed(C.dest_of(node, n), [node, root, -(-size // block)], MEMBER)
 
     def send(by: dict) -> Iterator[pa.RecordBatch]:
         key, root, blocks = (C.column(by.get(MEMBER, []), i, np.int64) for i in range(3))
@@ -218,7 +218,7 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
                 lo, hi = np.minimum(mine[doc], other), np.maximum(mine[doc], other)
                 unit = C.mix64(r[doc].view(np.uint64) + C.mix64((lo * (1 << 31) + hi).view(np.uint64)))
                 begin = np.cumsum(size) - size
-                dest = C.dest_of(unit.view(np.int64), 4 * n)
+                dest = C.dest_of(unit.view(np.int64), n)
                 order = np.argsort(dest, kind="stable")
                 d, doc, unit, lo, hi = dest[order], doc[order], unit[order], lo[order], hi[order]
                 ends = np.append(np.flatnonzero(np.diff(d)) + 1, len(d))
@@ -254,7 +254,7 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(links.astype(np.int64)), pa.array(root), pa.array(m > 0)], ["rep", "links", "root", "many"])
 
     told = members.mapInArrow(tell, C.PACKED)
-    sent = C.meet(C.text_rows(base, 4 * n).unionByName(told), n, send, C.PACKED)
+    sent = C.meet(C.text_rows(base, n).unionByName(told), n, send, C.PACKED)
     found, _ = C.stored(C.meet(sent, n, verify, "rep long, links long, root long, many boolean"), "links")
     one = found.where("not many").select("rep", "links", "root")
     many = found.where("many")

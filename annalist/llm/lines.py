@@ -91,7 +91,7 @@ class LineRuns:
                 turn = np.searchsorted(edges, key, "right")
                 for t in np.unique(turn):
                     own = turn == t
-                    yield C.packed(C.dest_of(h1[own].view(np.int64), 4 * n), [h1[own], h2[own], key[own]], BATCH + int(t))
+                    yield C.packed(C.dest_of(h1[own].view(np.int64), n), [h1[own], h2[own], key[own]], BATCH + int(t))
 
             for batch in batches:
                 keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -131,9 +131,9 @@ class LineRuns:
             fresh = order[first & (order >= len(g1))] - len(g1)
             if len(fresh):
                 fresh.sort()
-                yield C.packed(C.dest_of(h1[fresh].view(np.int64), 4 * n), [h1[fresh], h2[fresh]], RUN)
+                yield C.packed(C.dest_of(h1[fresh].view(np.int64), n), [h1[fresh], h2[fresh]], RUN)
                 by_doc = fresh[np.argsort(key[fresh], kind="stable")]
-                yield C.packed(C.dest_of(key[by_doc], 4 * n), [key[by_doc], h1[by_doc] + C.mix64(h2[by_doc])], CLAIM)
+                yield C.packed(C.dest_of(key[by_doc], n), [key[by_doc], h1[by_doc] + C.mix64(h2[by_doc])], CLAIM)
 
         table, path = C.stored(C.meet(rows, n, merge, C.PACKED), "lines")
         self.runs.append((0, path))
@@ -150,7 +150,7 @@ class LineRuns:
             def merge(by: dict) -> Iterator[pa.RecordBatch]:
                 h1, h2 = C.column(by[RUN], 0, np.uint64), C.column(by[RUN], 1, np.uint64)
                 order = np.lexsort((h2, h1))
-                yield C.packed(C.dest_of(h1[order].view(np.int64), 4 * n), [h1[order], h2[order]], RUN)
+                yield C.packed(C.dest_of(h1[order].view(np.int64), n), [h1[order], h2[order]], RUN)
 
             _, path = C.stored(C.meet(rows, n, merge, C.PACKED), "lines")
             self.paths.append(path)
@@ -193,7 +193,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: i
                 own = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(key, keys[i:j], "left"), np.searchsorted(key, keys[i:j], "right"), strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
                 yield _kept(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], key[own], mark[own], min_chars)
 
-    out = C.meet(C.text_rows(base, 4 * n).unionByName(claims), n, keep, "key long, n_lines long, n_dropped long, text string")
+    out = C.meet(C.text_rows(base, n).unionByName(claims), n, keep, "key long, n_lines long, n_dropped long, text string")
     return C.with_ids(out, base)
 
 

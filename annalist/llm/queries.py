@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from annalist.llm.bpe import bpe_encode
 from annalist.llm.ctw import ctw_score
+from annalist.llm.html import extract
 from annalist.llm.jaccard import jaccard_join
+from annalist.llm.langid import language
 from annalist.llm.lines import line_dedup
 from annalist.llm.packing import pack
 from annalist.llm.quality import MEASURES, quality
 from annalist.llm.suffix import suffix_dedup
+from annalist.llm.topk import quantised, top_k
 
 
 def tokenizer_path() -> str:
@@ -35,6 +38,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
@@ -44,11 +51,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(_table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantised(_table(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(_table(spark, sf_dir, "documents"), tokenizer_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -63,9 +79,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ctw": op1_ctw,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_html": op3_html,
     "op4_host_quality": op4_host_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language": op6_language,
     "op7_pack": op7_pack,
+    "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -103,4 +122,12 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id
     """,
+    "op8_top_k": r"""
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+              FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }

@@ -127,7 +127,7 @@ def anchor_rows(docs: DataFrame, n: int, length: int) -> DataFrame:
             h1, h2, key, lo, count = (np.concatenate(x) for x in zip(*held, strict=True))
             keep, _ = _first_of(h1, h2, key, lo)
             keep = keep[np.lexsort((lo[keep], key[keep]))]
-            yield C.packed(C.dest_of(h1[keep].view(np.int64), 4 * n), [h1[keep], h2[keep], key[keep], lo[keep].astype(np.int32), count[keep].astype(np.int16)], SEGMENT)
+            yield C.packed(C.dest_of(h1[keep].view(np.int64), n), [h1[keep], h2[keep], key[keep], lo[keep].astype(np.int32), count[keep].astype(np.int16)], SEGMENT)
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -258,7 +258,7 @@ def new_windows(text: np.ndarray, at: np.ndarray, key: np.ndarray, place: np.nda
 def _claims(key: np.ndarray, lo: np.ndarray, count: np.ndarray, n: int) -> pa.RecordBatch:
     order = np.lexsort((lo, key))
     key, lo, count = key[order], lo[order], count[order]
-    return C.packed(C.dest_of(key, 4 * n), [key, lo.astype(np.int64).astype(np.int32), count.astype(np.int16)], CLAIM)
+    return C.packed(C.dest_of(key, n), [key, lo.astype(np.int64).astype(np.int32), count.astype(np.int16)], CLAIM)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, hot_segments: int = 50_000) -> DataFrame:
@@ -285,7 +285,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_segments: int = 50_000)
         yield _claims(key[one], lo[one], count[one], n)
         more, variants = first[variants > 1], variants[variants > 1]
         if len(more):
-            yield C.packed(C.dest_of(key[more], 4 * n), [key[more], lo[more], count[more], h1[more], (variants > hot_segments).astype(np.int8)], REQUEST)
+            yield C.packed(C.dest_of(key[more], n), [key[more], lo[more], count[more], h1[more], (variants > hot_segments).astype(np.int8)], REQUEST)
 
     table, _ = C.stored(C.meet(anchor_rows(base, n, length), n, collapse, C.PACKED), "anchors")
     claims, requests = table.where(F.col("kind") == CLAIM), table.where(F.col("kind") == REQUEST)
@@ -319,7 +319,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_segments: int = 50_000)
                 h = np.concatenate([h[~split], window])
                 keep, _ = _first_of(h, np.where(m > 1, C.mix64(k.view(np.uint64) + at.view(np.uint64)), 0), k, at)
                 k, begin, at, m, h = k[keep], begin[keep], at[keep], m[keep], h[keep]
-            dest = C.dest_of(h.view(np.int64), 4 * n)
+            dest = C.dest_of(h.view(np.int64), n)
             order = np.argsort(dest, kind="stable")
             k, begin, at, m, h, dest = k[order], begin[order], at[order], m[order], h[order], dest[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(dest)) + 1, [len(dest)]])
@@ -329,7 +329,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_segments: int = 50_000)
             cells.append(C._cells(C.ragged(data, begin + at, size), body_ends))
             yield C.packed_rows(dest[cuts[:-1]], SEGMENT, cells)
 
-    texts = C.text_rows(base, 4 * n)
+    texts = C.text_rows(base, n)
     cut = C.meet(texts.unionByName(requests), n, cut_out, C.PACKED)
 
     def sort_bucket(by: dict) -> Iterator[pa.RecordBatch]:
