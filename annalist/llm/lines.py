@@ -170,7 +170,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: i
     come after all others.  An empty table gives an empty result.
     """
     base = C.keyed(docs)
-    spark, n = docs.sparkSession, C.parts_for(docs)
+    return C.with_ids(dedup_lines(base, min_chars, batches, fanout), base)
+
+
+def dedup_lines(base: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """``line_dedup`` of ``keyed`` documents, by key."""
+    spark, n = base.sparkSession, C.parts_for(base)
     marks = [i / batches for i in range(1, batches)]
     at = base.select(F.percentile_approx("key", marks, 1000).alias("at")).first()["at"] if marks else []
     bounds = sorted(set(at or []))
@@ -193,8 +198,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: i
                 own = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(key, keys[i:j], "left"), np.searchsorted(key, keys[i:j], "right"), strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
                 yield _kept(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], key[own], mark[own], min_chars)
 
-    out = C.meet(C.text_rows(base, n).unionByName(claims), n, keep, "key long, n_lines long, n_dropped long, text string")
-    return C.with_ids(out, base)
+    return C.meet(C.text_rows(base, n).unionByName(claims), n, keep, "key long, n_lines long, n_dropped long, text string")
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, key: np.ndarray, mark: np.ndarray, min_chars: int) -> pa.RecordBatch:

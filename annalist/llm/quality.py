@@ -124,3 +124,14 @@ def quality(docs: DataFrame, most: float = 0.5) -> DataFrame:
     rules, _ = C.stored(measured(docs), "rules")
     hosts, _ = C.stored(host_verdicts(rules, most), "hosts")
     return judged(rules, hosts).select("doc_id", "source", *MEASURES, "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & ~F.coalesce("bad", F.lit(False))).alias("kept"))
+
+
+def quality_filter(docs: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    rules, _ = C.stored(measured(docs), "rules")
+    hosts, _ = C.stored(host_verdicts(rules, most), "hosts")
+    columns = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    m = measures(text)["counted"]
+    rows = docs.withColumn("__counted", m).where("NOT (__counted.n_words < 20 OR 100 * __counted.n_repeat_words > 30 * __counted.n_words)").drop("__counted")
+    return judged(rows, hosts).where(~F.coalesce("bad", F.lit(False))).select(*columns)

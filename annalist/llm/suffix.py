@@ -272,10 +272,15 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_segments: int = 50_000)
     text; rows with a null doc_id come after all others.  Of rows alike in both,
     one counts as the earlier.  An empty table gives an empty result.
     """
+    base = C.keyed(docs)
+    return C.with_ids(dedup_passages(base, length, hot_segments), base)
+
+
+def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_000, whole_characters: bool = False) -> DataFrame:
+    """``suffix_dedup`` of ``keyed`` documents, by key; with ``whole_characters`` a character goes if any byte of it does."""
     if length < 2 * PERIOD + 8:
         raise ValueError("length must be at least 72")
-    base = C.keyed(docs)
-    n = C.parts_for(docs)
+    n = C.parts_for(base)
 
     def collapse(by: dict) -> Iterator[pa.RecordBatch]:
         rows = by[SEGMENT]
@@ -377,13 +382,12 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot_segments: int = 50_000)
             data = np.frombuffer(body, np.uint8)
             a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
             for i, j in C.slices(offsets, 8 << 20):
-                yield _removed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], [(lo[x:y], count[x:y]) for x, y in zip(a[i:j], b[i:j], strict=True)], length)
+                yield _removed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], [(lo[x:y], count[x:y]) for x, y in zip(a[i:j], b[i:j], strict=True)], length, whole_characters)
 
-    out = C.meet(texts.unionByName(claims), n, remove, OUT)
-    return C.with_ids(out, base)
+    return C.meet(texts.unionByName(claims), n, remove, OUT)
 
 
-def _removed(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, claims: list, length: int) -> pa.RecordBatch:
+def _removed(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, claims: list, length: int, whole_characters: bool) -> pa.RecordBatch:
     size = np.diff(offsets)
     total = len(data)
     windows = np.maximum(size - length + 1, 0)
@@ -403,6 +407,9 @@ def _removed(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, claims: li
     cover[begin] += 1
     np.add.at(cover, end + length - 1, -1)
     gone = np.cumsum(cover)[:total] > 0
+    if whole_characters and total:
+        character = np.cumsum((data & 0xC0) != 0x80) - 1
+        gone = (np.bincount(character, weights=gone) > 0)[character]
     before = np.concatenate([[0], np.cumsum(gone)])
     n_gone = before[offsets[1:]] - before[offsets[:-1]]
     first = gone.copy()
