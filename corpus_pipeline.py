@@ -1,15 +1,74 @@
-"""The corpus pipeline: rules, line dedup, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annalist.llm import common as C
+from annalist.llm.jaccard import near_duplicates
+from annalist.llm.lines import dedup_lines
+from annalist.llm.packing import pack
+from annalist.llm.quality import quality_filter
+from annalist.llm.queries import tokenizer_path
+from annalist.llm.suffix import dedup_passages
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REST = ("lang", "source", "n_chars")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go, with those of condemned hosts."""
+    return quality_filter(C.pick(docs, *COLUMNS))
+
+
+def _with_text(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """The columns of ``documents`` with new texts, by key; n_chars is counted again."""
+    rest = base.select("key", "doc_id", "lang", "source")
+    return rest.join(texts, "key").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document with a smaller doc_id has go; every document stays."""
+    base = C.keyed(docs, carry=REST)
+    return _with_text(base, dedup_lines(base).select("key", "text"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays."""
+    base = C.keyed(docs, carry=REST)
+    first = near_duplicates(base).where("key = class_key").select("key")
+    return base.join(first, "key", "left_semi").select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes that start earlier in the table go, by whole characters; every document stays."""
+    base = C.keyed(docs, carry=REST)
+    return _with_text(base, dedup_passages(base, whole_characters=True).select("key", F.col("kept").cast("string").alias("text")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 ids."""
+    out = pack(docs, tokenizer_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("jaccard_join", near), ("suffix_dedup", passages), ("packing", packed)]
 
-STAGES: list = []
+#: The ids of the last stage are not to be had in SQL; tests hold run() against a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; each one's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs, _ = C.stored(docs, name)
     return docs
