@@ -205,20 +205,28 @@ def sort_windows(text: np.ndarray, at: np.ndarray, length: int, block: int = 1 <
         own = by[lo:hi]
         order, cls = _classes(words, at[own], PERIOD)
         own = own[order]
-        cls = _resolved(rank, at, own, cls)
-        order = np.argsort(cls, kind="stable")
-        own, cls = own[order], cls[order]
-        order, cls = _classes(words, at[own] + length - PERIOD, PERIOD, cls)
-        yield own[order], cls
+        # The last bytes, which the ranks of near cover places do not reach.
+        tail = np.zeros(len(own), np.int64)
+        same = np.append(cls[1:] == cls[:-1], False)
+        tied = np.flatnonzero(same | np.append(False, same[:-1]))
+        order, t = _classes(words, at[own[tied]] + length - PERIOD, PERIOD)
+        tail[tied[order]] = t
+        yield _resolved(rank, tail, at, own, cls)
         lo = hi
 
 
-def _resolved(rank: np.ndarray, at: np.ndarray, own: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Split classes of equal first PERIOD bytes by the ranks of cover places, three ways around a pivot, until none splits."""
+def _resolved(rank: np.ndarray, tail: np.ndarray, at: np.ndarray, own: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Split classes of equal first PERIOD bytes three ways around a pivot, until none splits: (own in order, class).
+
+    Two suffixes are compared by the ranks of the cover places equally far
+    behind them and then by their last bytes: together all of their bytes.
+    """
+    group = np.cumsum(np.append(0, (cls[1:] != cls[:-1]).astype(np.int64)))
     n = len(own)
-    rows = np.arange(n)
-    group = cls.copy()
-    done = np.zeros(n, bool)
+    same = np.append(group[1:] == group[:-1], False)
+    rows = np.flatnonzero(same | np.append(False, same[:-1]))
+    done = np.ones(n, bool)
+    done[rows] = False
     while len(rows):
         g = group[rows]
         first = np.append(True, g[1:] != g[:-1])
@@ -226,20 +234,16 @@ def _resolved(rank: np.ndarray, at: np.ndarray, own: np.ndarray, cls: np.ndarray
         a, b = at[own[rows]], at[own[pivot]]
         shift = _SHIFT[a % PERIOD, b % PERIOD]
         side = np.sign(rank[a + shift] - rank[b + shift])
-        # Three consecutive numbers for each group, in order, among all rows.
+        side = np.where(side == 0, np.sign(tail[rows] - tail[pivot]), side)
         every = np.ones(n, np.int64)
         every[rows] = side + 1
+        done[rows[side == 0]] = True
         key = group * 3 + every
         order = np.argsort(key, kind="stable")
-        own[:] = own[order]
-        done = done[order]
-        picked = np.zeros(n, bool)
-        picked[rows[side == 0]] = True
-        done |= picked[order]
-        key = key[order]
-        group = np.cumsum(np.append(0, (key[1:] != key[:-1]).astype(np.int64))) if n else key
+        own, tail, done, key = own[order], tail[order], done[order], key[order]
+        group = np.cumsum(np.append(0, (key[1:] != key[:-1]).astype(np.int64)))
         rows = np.flatnonzero(~done)
-    return group
+    return own, group
 
 
 def new_windows(text: np.ndarray, at: np.ndarray, key: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
