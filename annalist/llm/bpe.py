@@ -19,6 +19,7 @@ import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -262,83 +263,112 @@ def mapped(blob: bytes) -> dict[str, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts.  What lies between ASCII white space is encoded once and kept, up to ``keep`` pieces."""
+    """Ids of texts.  What lies between ASCII white space (a piece) is encoded once and kept, up to ``keep`` pieces."""
 
-    def __init__(self, tables: dict[str, np.ndarray], keep: int = 200_000) -> None:
-        self.tables, self.keep = tables, keep
+    def __init__(self, tables: dict[str, np.ndarray], keep: int = 500_000, show: bool = True) -> None:
+        self.tables, self.keep, self.show = tables, keep, show
         self.special = dict(zip(json.loads(bytes(tables["special"])), tables["special_ids"].tolist(), strict=True))
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        # The pre-tokenizer's pattern, with white space as Unicode has it.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+        special = "|".join(map(regex.escape, self.special))
+        self.split_special = regex.compile(f"({special})") if self.special else None
+        # The pre-tokenizer's pattern, with white space as Unicode has it, and the line feed that parts pieces here.
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.text, self.text_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-
-    def _parts(self, piece: bytes) -> list[bytes | int]:
-        """Words of a piece as byte strings; special tokens as ids."""
-        raw = piece.decode("utf-8", "replace")
-        out: list[bytes | int] = []
-        found = self.split_special.split(raw) if self.split_special and any(s in raw for s in self.special) else [raw]
-        for part in found:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                if part.isascii():
-                    part = part.lower()
-                else:
-                    part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                out += [w.encode() for w in self.words.findall(part)]
+        self.word_rows: dict[str, int] = {}
+        self.word_ids, self.word_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        # Characters are lowered one by one; only a capital sigma would look at its neighbours.
+        return "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+
+    def _split(self, pieces: list[bytes]) -> list[str]:
+        """Words of the pieces, each piece after a line feed; a special token is a word that starts with a line feed."""
+        raw = b"\n".join(pieces).decode("utf-8", "replace")
+        if self.split_special is None or not any(x in raw for x in self.special):
+            return ["\n", *self.words.findall(self._normal(raw))]
+        out = ["\n"]
+        for part in self.split_special.split(raw):
+            out += ["\n" + part] if part in self.special else self.words.findall(self._normal(part))
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words as the pre-tokenizer gives them."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        lengths = np.array([len(w) for w in words], np.int64)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words as the pre-tokenizer gives them, one after the other, and their number in each."""
+        body = [w.encode() for w in words]
+        lengths = np.array([len(w) for w in body], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(body), np.uint8)
+        rows: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
+        ends, ids = self.tables["word_ends"], self.tables["word_ids"]
         for lo, hi in ((0, 8), (8, 16), (16, 32)):
-            rows = np.flatnonzero((lengths > lo) & (lengths <= hi))
-            for i in range(0, len(rows), 1 << 15):
-                own = rows[i : i + (1 << 15)]
-                letters, size = _matrix([words[r] for r in own])
+            fit = np.flatnonzero((lengths > lo) & (lengths <= hi))
+            for i in range(0, len(fit), 1 << 14):
+                own = fit[i : i + (1 << 14)]
+                size = lengths[own]
+                letters = np.zeros((len(own), int(size.max())), np.uint8)
+                letters[np.arange(letters.shape[1]) < size[:, None]] = C.ragged(data, begin[own], size)
                 place = look_up(self.tables, letters, size)
-                ends, ids = self.tables["word_ends"], self.tables["word_ids"]
-                for r, p in zip(own[place >= 0], place[place >= 0], strict=True):
-                    out[r] = ids[ends[p - 1] if p else 0 : ends[p]]
-                if len(miss := np.flatnonzero(place < 0)):
-                    got, counts = merge_words(self.tables, letters[miss], size[miss])
-                    got = got.astype(np.int32)
-                    for r, row, c in zip(own[miss], got, counts, strict=True):
-                        out[r] = row[:c]
+                hit = place >= 0
+                start = np.where(place > 0, ends[np.maximum(place, 1) - 1], 0)[hit]
+                n = ends[place[hit]] - start
+                rows.append(own[hit])
+                counts.append(n)
+                flat.append(C.ragged(ids, start, n))
+                if not hit.all():
+                    got, n = merge_words(self.tables, letters[~hit], size[~hit])
+                    rows.append(own[~hit])
+                    counts.append(n)
+                    flat.append(got[np.arange(got.shape[1]) < n[:, None]].astype(np.int32))
         for r in np.flatnonzero(lengths > 32):
-            out[r] = np.array(merge_long(self.tables, words[r]), np.int32)
-        return out
+            got = merge_long(self.tables, body[r])
+            rows.append(np.array([r]))
+            counts.append(np.array([len(got)]))
+            flat.append(np.array(got, np.int32))
+        if not rows:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        row, count, value = np.concatenate(rows), np.concatenate(counts), np.concatenate(flat)
+        order = np.argsort(row, kind="stable")
+        return C.ragged(value, (np.cumsum(count) - count)[order], count[order]), count[order]
 
     def learn(self, pieces: Iterable[bytes]) -> None:
         """Encode pieces that are not known yet."""
         new = [p for p in pieces if p not in self.known]
         if not new:
             return
-        parts = [self._parts(p) for p in new]
-        words = list({w for ps in parts for w in ps if isinstance(w, bytes)})
-        ids_of = dict(zip(words, self.encode_words(words), strict=True))
-        flat = [ids_of[w] if isinstance(w, bytes) else np.array([w], np.int32) for ps in parts for w in ps]
-        ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        sizes = np.array([len(x) for x in flat], np.int64)
-        per = np.array([len(ps) for ps in parts], np.int64)
-        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(per)]
+        tokens = self._split(new)
+        known = self.word_rows
+        fresh = [w for w in dict.fromkeys(tokens) if w not in known and w[0] != "\n"]
+        ids, counts = self.encode_words(fresh)
+        extra = [w for w in dict.fromkeys(tokens) if w[0] == "\n" and w not in known]
+        known.update(zip([*fresh, *extra], range(len(known), len(known) + len(fresh) + len(extra)), strict=True))
+        ids = np.concatenate([self.word_ids, ids, np.array([self.special[w[1:]] for w in extra if len(w) > 1], np.int32)])
+        sizes = np.concatenate([counts, np.array([len(w) > 1 for w in extra], np.int64)])
+        self.word_ids, self.word_ends = ids, np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(sizes)])
+        rows = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        first = np.flatnonzero(rows == known["\n"])
+        got, upto = self._gather(rows, np.diff(np.append(first, len(rows))), self.word_ids, self.word_ends)
+        upto = np.cumsum(upto)
         begin = len(self.ends) - 1
         self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
         self.ends = np.concatenate([self.ends, self.ends[-1] + upto])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, got])
+        if not self.show:
+            return
         ends = self.tables["shown_ends"]
-        stop = ends[ids]
-        start = np.where(ids > 0, ends[np.maximum(ids, 1) - 1], 0)
+        stop = ends[got]
+        start = np.where(got > 0, ends[np.maximum(got, 1) - 1], 0)
         # Tokens with a space after each.
         body = np.append(self.tables["shown"], np.uint8(32))
-        at = np.stack([start, np.full(len(ids), len(body) - 1)], 1).reshape(-1)
-        size = np.stack([stop - start, np.ones(len(ids), np.int64)], 1).reshape(-1)
+        at = np.stack([start, np.full(len(got), len(body) - 1)], 1).reshape(-1)
+        size = np.stack([stop - start, np.ones(len(got), np.int64)], 1).reshape(-1)
         shown = C.ragged(body, at, size)
         token_ends = np.concatenate([[0], np.cumsum(stop - start + 1)])
         self.text_ends = np.concatenate([self.text_ends, self.text_ends[-1] + token_ends[upto]])
@@ -352,7 +382,7 @@ class Encoder:
         self.learn(set().union(*split) if split else set())
         counts = np.array([len(s) for s in split], np.int64)
         get = self.known.__getitem__
-        return np.fromiter((x for s in split for x in map(get, s)), np.int64, int(counts.sum())), counts
+        return np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum())), counts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and their number in each text."""
@@ -377,15 +407,16 @@ class Encoder:
         return ids, n, shown[keep], m - some
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder_of(broadcast) -> Encoder:
-    """One encoder per worker process and table file."""
-    if broadcast.id not in _encoders if hasattr(broadcast, "id") else True:
+def encoder_of(broadcast, show: bool = True) -> Encoder:
+    """The worker process's encoder for a broadcast table file."""
+    key = (broadcast.id if hasattr(broadcast, "id") else id(broadcast), show)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[getattr(broadcast, "id", 0)] = Encoder(mapped(broadcast.value))
-    return _encoders[getattr(broadcast, "id", 0)]
+        _encoders[key] = Encoder(mapped(broadcast.value), show=show)
+    return _encoders[key]
 
 
 def byte_texts(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:

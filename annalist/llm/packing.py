@@ -88,7 +88,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, group_
     tables = docs.sparkSession.sparkContext.broadcast(compiled(path))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tables)
+        encoder = encoder_of(tables, show=False)
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
