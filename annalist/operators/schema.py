@@ -47,7 +47,7 @@ def not_allowed(present: DataFrame, members: DataFrame, allowed: list[str]) -> D
 
 def dangling(references: DataFrame, identities: DataFrame) -> DataFrame:
     """References (e, v) to what is no identity (id)."""
-    return references.join(identities, references["v"] == identities["id"], "left_anti")
+    return references.join(identities, F.col("v") == F.col("id"), "left_anti")
 
 
 def backward(facts: DataFrame) -> DataFrame:
