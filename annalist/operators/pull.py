@@ -55,12 +55,13 @@ def json_value(kind: str, x: Column, name: Column | None = None) -> Column:
     return own.when(x["t"] == V.FLOAT, _number_udf()(x["d"]))
 
 
-def documents(source: Source, entities: DataFrame, pattern: list[Any], history: bool = False) -> DataFrame:
+def documents(source: Source, entities: DataFrame, pattern: list[Any], history: bool = False, depth: int = 1) -> DataFrame:
     """e and doc (canonical JSON text) of distinct entities ``e``; those with nothing to show are ``{}``.
 
     Each item of the pattern is one join; values of an attribute come in a fixed
     order, as a list where the attribute has many or the reference is followed
-    backwards.
+    backwards.  With ``*``, references are followed ``depth`` - 1 times, so a cycle
+    ends there.
     """
     check_pull(pattern)
     ship(source.spark)
@@ -68,10 +69,15 @@ def documents(source: Source, entities: DataFrame, pattern: list[Any], history:
     nested = {k: sub for item in pattern if isinstance(item, dict) for k, sub in item.items()}
     for item in [*nested, *(i for i in pattern if isinstance(i, str))]:
         if item == "*":
-            rows = source.scan_all(False).df.join(entities, "e", "left_semi")
-            rows = source.named(source.named(rows, "a", "key"), "__ref" if False else "e", "__own") if False else source.named(rows, "a", "key")
-            rows = source.named(rows.withColumn("__to", F.col("v.i")), "__to", "__name")
-            parts.append(rows.select("e", "key", json_value("any", F.col("v"), F.when(F.col("v.t") == V.REF, F.col("__name"))).alias("j"), F.lit(False).alias("list")))
+            rows = source.named(source.scan_all(False).df.join(entities, "e", "left_semi"), "a", "key")
+            rows = source.named(rows.withColumn("__to", F.when(F.col("v.t") == V.REF, F.col("v.i"))), "__to", "__name")
+            shown = json_value("any", F.col("v"), F.when(F.col("v.t") == V.REF, F.col("__name")))
+            if depth > 1:
+                inner = documents(source, rows.where("__to IS NOT NULL").select(F.col("__to").alias("e")).distinct(), ["*"], history, depth - 1)
+                inner = inner.where("doc <> '{}'").select(F.col("e").alias("__to"), "doc")
+                rows, shown = rows.join(inner, "__to", "left"), F.coalesce("doc", shown)
+            listed = F.col("key").isin(getattr(source, "many_names", list)())
+            parts.append(rows.where("key IS NOT NULL").select("e", "key", shown.alias("j"), listed.alias("list")))
             continue
         space, _, last = item.partition("/")
         backward = last.startswith("_")
@@ -110,4 +116,4 @@ def pulled(source: Source, df: DataFrame, column: str, pattern: list[Any]) -> Da
 
 def entity(source: Source, e: int, depth: int = 1) -> DataFrame:
     """One entity with everything it has, references followed ``depth`` - 1 times."""
-    return documents(source, source.spark.createDataFrame([(e,)], "e long"), ["*"])
+    return documents(source, source.spark.createDataFrame([(e,)], "e long"), ["*"], depth=depth)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from annalist.errors import QueryError, ValueTypeError
 from annalist.functions.text import bm25
+from annalist.functions.values import canonical_json
 from annalist.storage import stored
 
 #: The constant of reciprocal rank fusion and the bounds of results.
 RRF_K, MOST_EXPANDED, MOST_FILTERS = 60, 100, 16
-PULL_ATTRIBUTES, PULL_VALUES = 32, 32
+PULL_ATTRIBUTES, PULL_VALUES, MOST_BYTES = 32, 32, 1 << 20
 
 
 def candidate_cap(k: int) -> int:
@@ -99,6 +100,30 @@ def compact(rows: DataFrame) -> DataFrame:
     return kept.withColumn("m", F.dense_rank().over(by_name)).where(F.col("m") <= PULL_ATTRIBUTES).drop("n", "m")
 
 
+def short(document: dict[str, Any]) -> dict[str, Any]:
+    """The first 32 attributes by name, with the first 32 of many values."""
+    return {k: v[:PULL_VALUES] if isinstance(v, list) else v for k, v in sorted(document.items())[:PULL_ATTRIBUTES]}
+
+
+def bounded(result: dict[str, Any], most: int = MOST_BYTES) -> dict[str, Any]:
+    """A result of at most ``most`` bytes: expanded entities go first, then evidence, then the last hits."""
+
+    def fits() -> bool:
+        return len(canonical_json(result).encode()) <= most
+
+    while not fits():
+        result["truncated"] = True
+        if result["expanded"]:
+            result["expanded"].pop()
+        elif any(h["matched"] for h in result["hits"]):
+            next(h for h in reversed(result["hits"]) if h["matched"])["matched"].pop()
+        elif result["hits"]:
+            result["hits"].pop()
+        else:
+            break
+    return result
+
+
 def check(text: Any, vector: Any, vector_attribute: Any, text_attributes: Any, filters: Any) -> None:
     """Reject a search without a signal, or with options that do not fit each other."""
     if text is None and vector is None:

@@ -40,6 +40,7 @@ def run(source: Source, query: dict[str, Any], args: dict[str, Any] | None = Non
     elif extra:
         # Rows that look alike are one; the first in order stands for them.
         df = df.groupBy(*shown).agg(*(F.min(x).alias(x) for x in extra))
+    df = _collapsed(df, [f.column for f in q.find if kinds[f.column] == "any" and f.kind != "pull"], shown, extra)
     if order:
         df = df.orderBy(*((F.col(k) if isinstance(k, str) else k).asc() if up else (F.col(k) if isinstance(k, str) else k).desc() for k, up in order))
     if q.offset:
@@ -49,6 +50,21 @@ def run(source: Source, query: dict[str, Any], args: dict[str, Any] | None = Non
     return df.select(*shown)
 
 
+def _collapsed(df: DataFrame, mixed: list[str], shown: list[str], extra: list[str]) -> DataFrame:
+    """Rows whose values look alike in JSON are one: an integral float prints as the integer does."""
+    if not mixed:
+        return df
+
+    def key(c: str) -> Column:
+        x = F.col(c)
+        whole = (x["t"] == V.FLOAT) & (x["d"] == F.floor(x["d"]).cast("double")) & (F.abs(x["d"]) < 2.0**63)
+        return F.when(whole, F.struct(F.lit(V.INT).cast("tinyint").alias("t"), F.floor(x["d"]).cast("bigint").alias("i"), F.lit(None).cast("double").alias("d"), x["s"].alias("s"), x["b"].alias("b"), x["f"].alias("f"))).otherwise(x)
+
+    keyed = df.select("*", *(key(c).alias(f"k_{c}") for c in mixed))
+    rest = [c for c in shown if c not in mixed]
+    return keyed.groupBy(*rest, *(f"k_{c}" for c in mixed)).agg(*(F.min(c).alias(c) for c in [*mixed, *extra])).select(*shown, *extra)
+
+
 def _ref_order(text: Column) -> Column:
     """References sort by their JSON: named ones by name, then bare ids."""
     return F.when(text.rlike("^[0-9]+$"), text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))

@@ -9,6 +9,7 @@ versions into one; excision does the same without the rows it removes.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 from dataclasses import replace
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from annalist.errors import Conflict, EngineError, NotFound, QueryError, ReadOnly, SchemaError, Unsupported, ValueTypeError
 from annalist.functions import values as V
+from annalist.functions.text import capped, snippet
 from annalist.model import FACTS, Scan
 from annalist.operators import datoms as index
 from annalist.operators import schema as checks
 from annalist.operators import search, temporal
-from annalist.operators.pull import documents
+from annalist.operators.pull import documents, entity
 from annalist.plans import ast
 from annalist.plans.query import run
 from annalist.sources.transact import _FIELDS, FIRST_TX, RESERVED, SYS, SYSTEM, Declared, Fact, Planner, check_attribute, check_name, without_entity
@@ -561,8 +563,22 @@ class Db:
         """One entity's document as canonical JSON."""
         return documents(self, self.spark.createDataFrame([(self._known(ref),)], "e long"), pattern).first()["doc"]
 
-    def entity_document(self, ref: Any) -> str:
-        return self.pull(ref, ["*"])
+    def entity_document(self, ref: Any, depth: int = 1) -> str:
+        """Everything an entity has, as canonical JSON; references are followed ``depth`` - 1 times."""
+        if isinstance(depth, bool) or not 1 <= depth <= 16:
+            raise QueryError("depth is 1 to 16")
+        return entity(self, self._known(ref), depth).first()["doc"]
+
+    def many_names(self) -> list[str]:
+        """Names of the attributes that are declared to have many values."""
+        own = self.live().where((F.col("a") == SYS["sys/many"]) & (F.col("i") == 1)).select(F.col("e").alias("id"))
+        return [r["name"] for r in self.ids().join(own, "id").select("name").collect()] + [n for n in ("sys/shape", "sys/required", "sys/allowed")]
+
+    def register_views(self, prefix: str = "") -> None:
+        """SQL views of the facts with named entities and attributes: facts_named (all) and facts_now (those that hold)."""
+        for view, rows in (("facts_named", self.facts()), ("facts_now", self.live())):
+            shown = self.named(self.named(rows, "e", "entity"), "a", "attribute")
+            shown.select("id", F.coalesce("entity", F.col("e").cast("string")).alias("entity"), "attribute", "t", "i", "d", "s", "b", "f", "tx", "rx").createOrReplaceTempView(prefix + view)
 
     def datoms(self, index_name: str, components: list = (), source: str = "current", limit: int = 100, cursor: str | None = None) -> dict:
         """A page of an index, and the cursor of the next one."""
@@ -643,12 +659,31 @@ class Db:
         start = self.spark.createDataFrame([(h["e"],) for h in hits], "e long")
         edges = live.where(F.col("t") == V.REF).select(F.col("id").alias("fact"), F.col("e").alias("src"), F.col("i").alias("dst"))
         reached = [] if not expand or not hits else [{"entity": self._shown(r["e"]), "hop": r["hop"], "path": [self._shown(p) for p in r["path"]]} for r in search.expand(edges, start, expand).collect()]
-        docs = {r["e"]: r["doc"] for r in documents(self, start, ["*"]).collect()} if hits else {}
-        matched: dict[int, list[int]] = {}
+        docs = {r["e"]: json.loads(r["doc"]) for r in documents(self, start, ["*"]).collect()} if hits else {}
+        matched: dict[int, set[int]] = {}
         for x in named:
-            for r in x.select("e", "fact").collect():
-                matched.setdefault(r["e"], []).append(r["fact"])
-        return {"basis_tx": self.basis_tx(), "hits": [{"entity": h["name"], "score": h["score"], "matched": sorted(set(matched[h["e"]])), "pull": docs[h["e"]]} for h in hits], "expanded": reached, "truncated": len(reached) >= search.MOST_EXPANDED}
+            for r in x.join(start, "e", "left_semi").select("e", "fact").collect():
+                matched.setdefault(r["e"], set()).add(r["fact"])
+        wanted = sorted({i for ids in matched.values() for i in ids})
+        rows = temporal.with_provenance(live.where(F.col("id").isin(wanted)), self.transactions()).collect() if wanted else []
+        proof = {r["id"]: self._evidence(r, text) for r in rows}
+        out = {
+            "basis_tx": self.basis_tx(),
+            "hits": [{"entity": h["name"], "score": h["score"], "matched": [proof[i] for i in sorted(matched[h["e"]])], "pull": search.short(docs[h["e"]])} for h in hits],
+            "expanded": reached, "truncated": len(reached) >= search.MOST_EXPANDED,
+        }
+        return search.bounded(out)
+
+    def _evidence(self, r, text: str | None) -> dict:
+        """A matched fact with its provenance: long text cut, of a vector only its size."""
+        f = self._fact(r)
+        out = self._rendered(f) | {"at": r["at"], "by": r["by"], "source": r["source"]}
+        if f.kind == "vector":
+            return out | {"v": {"dims": len(f.value)}}
+        if f.kind == "text":
+            value, cut = capped(f.value)
+            out |= {"v": value} | ({"truncated": True} if cut else {}) | ({"snippet": snippet(f.value, text)} if text else {})
+        return out
 
     # ------------------------------------------------------------ schema and health
 
