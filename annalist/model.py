@@ -28,8 +28,11 @@ class Source(Protocol):
 
     spark: SparkSession
 
-    def scan(self, attribute: str, history: bool) -> Scan | None:
-        """Facts of an attribute; None if there is no such attribute."""
+    def scan(self, attribute: str, history: bool, entity: int | None = None, target: int | None = None) -> Scan | None:
+        """Facts of an attribute; None if there is no such attribute.
+
+        With an entity, or a referenced entity, others may be left out early.
+        """
 
     def scan_all(self, history: bool) -> Scan:
         """Facts of all attributes, with values as structs."""

@@ -87,7 +87,13 @@ class Compiler:
         fixed = a != "_" and not ast.is_variable(a)
         if fixed and not isinstance(ast.wire_of(a), (str, int)):
             raise QueryError(f"not an attribute: {a!r}")
-        scan = self.source.scan(a, self.query.history) if fixed else self.source.scan_all(self.query.history)
+        if fixed:
+            owner = self.entity(e) if e != "_" and not ast.is_variable(e) else None
+            wire = ast.wire_of(v)
+            target = self.entity(v) if isinstance(wire, dict) and set(wire) == {"ref"} else None
+            scan = self.source.scan(a, self.query.history, owner, target)
+        else:
+            scan = self.source.scan_all(self.query.history)
         if scan is None:
             kinds = {x: "ref" for x in p.variables()}
             return Bindings(self.spark.createDataFrame([], ", ".join(f"`{name(x)}` bigint" for x in kinds) or "none int"), kinds)

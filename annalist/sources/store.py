@@ -284,11 +284,13 @@ class Db:
     def _rows(self, history: bool) -> DataFrame:
         return temporal.datoms(self.facts(), self.basis) if history else self.live().withColumn("added", F.lit(True))
 
-    def scan(self, attribute: Any, history: bool = False) -> Scan | None:
+    def scan(self, attribute: Any, history: bool = False, entity: int | None = None, target: int | None = None) -> Scan | None:
         a = self._attribute(attribute)
         if a is None:
             return None
         rows = self._rows(history).where(F.col("a") == a)
+        if entity is not None:
+            rows = rows.where(F.col("e") == entity)
         tags = [r["t"] for r in rows.select("t").distinct().collect()]
         kinds = {V.KIND_OF_TAG[t] for t in tags}
         if not kinds:

@@ -103,21 +103,32 @@ class TableSource:
             return F.unix_micros(F.col(x.column).cast("timestamp"))
         return F.col(x.column).cast({"int": "bigint", "float": "double", "text": "string", "vector": "array<float>"}[x.kind])
 
-    def intervals(self, name: str) -> DataFrame:
-        """e, v, tx, rx of an attribute, whatever the basis."""
+    def intervals(self, name: str, entity: int | None = None, target: int | None = None) -> DataFrame:
+        """e, v, tx, rx of an attribute, whatever the basis.
+
+        A wanted entity, or referenced entity, is turned back into a key, so that
+        the filter reaches the scan; the caller filters on e and v all the same.
+        """
         x = ATTRIBUTES[name]
         rows = self.table(x.table)
+        if entity is not None:
+            owner = "user" if name.startswith("user/") else "documents" if x.table == "labels" else x.table
+            column = "user_id" if owner == "user" else _KEYS.get(x.table)
+            if column is not None:
+                rows = rows.where(F.col(column) == entity - ORDER.index(owner) * SPAN)
+        if target is not None and x.target is not None and x.column in rows.columns:
+            rows = rows.where(F.col(x.column) == target - ORDER.index(x.target) * SPAN)
         if name.startswith("user/"):
             return folded(rows.select(entity_id("user", F.col("user_id")).alias("e"), self._value(name, x).alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("tx")).where("v IS NOT NULL"))
         facts = rows.select(self._entity(x.table).alias("e"), self._value(name, x).alias("v")).where("v IS NOT NULL")
         if name in ("conversations/next", "part/next"):
-            facts = facts.join(rows.select(self._entity(x.table).alias("v")), "v", "left_semi").select("e", "v")
+            facts = facts.join(self.table(x.table).select(self._entity(x.table).alias("v")), "v", "left_semi").select("e", "v")
         return facts.withColumn("tx", F.lit(1).cast("bigint")).withColumn("rx", F.lit(None).cast("bigint"))
 
-    def scan(self, attribute: str, history: bool = False) -> Scan | None:
+    def scan(self, attribute: str, history: bool = False, entity: int | None = None, target: int | None = None) -> Scan | None:
         if attribute not in ATTRIBUTES:
             return None
-        kind, rows = ATTRIBUTES[attribute].kind, self.intervals(attribute)
+        kind, rows = ATTRIBUTES[attribute].kind, self.intervals(attribute, entity, target)
         moving = attribute.startswith("user/")
         if not history:
             seen = rows if self.basis is None else rows.where((F.col("tx") <= self.basis) & (F.col("rx").isNull() | (F.col("rx") > self.basis)))

@@ -103,6 +103,12 @@ def test_plans_prune_columns_and_push_filters(spark):
     assert "c_acctbal" not in plan and "EqualTo(c_mktsegment,BUILDING)" in plan and "Exchange" not in plan
 
 
+def test_wanted_keys_reach_the_scan(spark):
+    source = TableSource(spark, SF)
+    for where, pushed in ((["nation:3", "nation/name", "?n"], "EqualTo(n_nationkey,3)"), (["?n", "customer/nation", {"ref": "nation:3"}], "EqualTo(c_nationkey,3)"), (["user:5", "user/last-type", "?n"], "EqualTo(user_id,5)")):
+        assert pushed in run(source, {"find": ["?n"], "where": [where]})._jdf.queryExecution().executedPlan().toString()
+
+
 def plain(x):
     if isinstance(x, float):
         return float(f"{x:.9g}")
