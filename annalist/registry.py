@@ -181,8 +181,7 @@ def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_FOLD + "SELECT f.user_id, v, tx, a.event_type AS source, b.event_type AS rx_source FROM f JOIN events a ON epoch_us(a.ts) = tx LEFT JOIN events b ON epoch_us(b.ts) = rx WHERE f.user_id < 40")
 def why_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _last_type(spark, sf_dir).where((F.col("e") % SPAN) < 40)
-    return _user(temporal.with_provenance(facts, _transactions(spark, sf_dir)), "v", "tx", "source", "rx_source")
+    return _user(temporal.with_provenance(_last_type(spark, sf_dir), _transactions(spark, sf_dir)), "v", "tx", "source", "rx_source")
 
 
 @register("SELECT epoch_us(ts) AS tx, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS basis_tx, 'user:' || user_id AS \"by\" FROM events")
