@@ -3,8 +3,10 @@
 A page is a sequence of text pieces and tags.  Every kind of token has a weight,
 the log odds of lying in the main text, counted on labelled pages; tags never
 weigh more than a small negative amount, so a run pays for the markup that it
-crosses.  One linear scan finds the run with the largest sum.  What lies in the
-run, less pieces inside menus, adverts and the like, is the main text.
+crosses.  Menus, adverts and the like inside an article or main element weigh
+nothing, however long they are.  One linear scan finds the run with the largest
+sum.  What lies in the run, less pieces inside menus, adverts and the like, is
+the main text.
 """
 
 from __future__ import annotations
@@ -52,13 +54,13 @@ def _kind(tag: str) -> str:
 def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
     """(kind, text or None for a tag, whether a tag breaks the line) of a page, in order."""
     stack: list[tuple[str, bool]] = []
-    aside = links = 0
+    aside = links = proper = prose = 0  # how many open elements are aside, links, article or main, headings or paragraphs
     at, end = 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at:
-            yield ("aside" if aside else "link" if links else "word"), page[at:stop], False
+            yield ("inner" if aside and proper else "aside" if aside else "word" if not links else "link" if proper or prose else "menu"), page[at:stop], False
         if not found:
             return
         at = found.end()
@@ -72,6 +74,8 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
                 for name, off in stack[place:]:
                     aside -= off
                     links -= name == "a"
+                    proper -= name in ("article", "main")
+                    prose -= name == "p" or _kind(name) == "h"
                 del stack[place:]
         else:
             attributes = found[3] or found[6] or ""
@@ -80,19 +84,22 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
                 at = close.start() if close else end
             if tag in ("article", "main"):
                 # Content proper: whatever was left open before it has ended.
-                stack, aside, links = [], 0, 0
+                stack, aside, links, proper, prose = [], 0, 0, 0, 0
             elif tag in BLOCK and stack and stack[-1][0] == "p":
                 stack.pop()  # a block ends an open paragraph, which is never aside
+                prose -= 1
             if tag not in VOID and not attributes.endswith("/"):
                 off = _is_aside(tag, attributes, any(n in ("article", "main") for n, _ in stack)) or tag in RAW
                 if tag != "p" or not off:
                     stack.append((tag, off))
                     aside += off
                     links += tag == "a"
+                    proper += tag in ("article", "main")
+                    prose += tag == "p" or _kind(tag) == "h"
                 else:
                     stack.append((f"{tag} ", off))
                     aside += off
-        yield ("aside" if aside else "") + "<" + _kind(tag), None, tag in BLOCK
+        yield ("inner" if aside and proper else "aside" if aside else "") + "<" + _kind(tag), None, tag in BLOCK
 
 
 def _lines(found: list[tuple[str, str | None, bool]]) -> list[str]:
@@ -100,7 +107,7 @@ def _lines(found: list[tuple[str, str | None, bool]]) -> list[str]:
     out, line = [], []
     for kind, text, breaks in [*found, ("", None, True)]:
         if text is not None:
-            if kind != "aside":
+            if kind not in ("aside", "inner"):
                 line.append(text)
         elif breaks and line:
             whole = " ".join(entities.unescape("".join(line)).split())
@@ -120,11 +127,14 @@ def labelled_pages() -> list[tuple[str, str]]:
     """A few pages of common layouts with their main text."""
     words = "a plain line of running text that tells the reader what happened and why it matters to them today".split()
     out = []
-    for k in range(12):
+    for k in range(18):
         line = lambda n, s=0: " ".join(words[(s + i * (k + 2)) % len(words)] for i in range(n))
         main = [line(5 + k), *(line(12 + 9 * i, i) + "." for i in range(2 + k % 4))]
         body = f"<h1>{main[0]}</h1>" + "".join(f"<p>{x[:20]}<b>{x[20:]}</b></p>" if i % 2 else f"<p>{x}</p>" for i, x in enumerate(main[1:]))
-        menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">{words[i]}</a></li>' for i in range(4 + k)) + "</ul></nav>"
+        if k >= 12:  # a linked title, a last paragraph that is all link, a long box in between
+            box = f'<div class="related"><h3>{line(3)}</h3><ul>' + "".join(f'<li><a href="/{i}">{line(9, i)}</a></li>' for i in range(12)) + "</ul></div>"
+            body = f'<h1><a href="/t">{main[0]}</a></h1>' + "".join((box if i == 1 and k % 3 < 2 else "") + (f'<p><a href="/{i}">{x}</a></p>' if i == len(main) - 2 else f"<p>{x}</p>") for i, x in enumerate(main[1:]))
+        menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">{words[i % len(words)]}</a></li>' for i in range(4 + k)) + "</ul></nav>"
         side = f'<aside><h3>{line(2)}</h3><ul><li><a href="#">{line(4)}</a></li></ul></aside>'
         notice, advert = f'<div class="cookie-notice">{line(9)}<button>{words[0]}</button></div>', f'<div class="ad">{line(6, 3)}</div>'
         comments = f'<section id="comments"><div class="comment"><p>{line(8 + k, 1)}</p></div></section>'
@@ -142,7 +152,7 @@ def fit_weights(pages: list[tuple[str, str]]) -> dict[str, float]:
     for page, text in pages:
         known = " ".join(text.split())
         found = list(tokens(page))
-        hits = [i for i, (kind, t, _) in enumerate(found) if t and kind != "aside" and t.strip() and " ".join(entities.unescape(t).split()) in known]
+        hits = [i for i, (kind, t, _) in enumerate(found) if t and kind not in ("aside", "inner") and t.strip() and " ".join(entities.unescape(t).split()) in known]
         lo, hi = (hits[0], hits[-1]) if hits else (0, -1)
         for i, (kind, t, _) in enumerate(found):
             n = len(t.split()) if t is not None else 1
@@ -171,7 +181,7 @@ def best_run(values: list[float]) -> tuple[int, int]:
 def main_text(page: str, weight: dict[str, float]) -> str:
     found = list(tokens(_spaced(page)))
     plain = -0.05
-    a, b = best_run([len(t.split()) * weight.get(kind, 0.0) if t is not None else weight.get(kind, weight.get("aside", -1.0) if kind.startswith("aside") else plain) for kind, t, _ in found])
+    a, b = best_run([0.0 if kind.startswith("inner") else len(t.split()) * weight.get(kind, 0.0) if t is not None else weight.get(kind, weight.get("aside", -1.0) if kind.startswith("aside") else plain) for kind, t, _ in found])
     return "\n".join(_lines(found[a:b]))
 
 
