@@ -45,6 +45,60 @@ def _is_aside(tag: str, attributes: str, inside: bool) -> bool:
     return any(w in MARKS for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
+def _marked(attributes: str, whole: bool) -> bool:
+    """Whether a class, id or role is one of MARKS, or (unless ``whole``) begins with one, as comment-body does."""
+    names = [x.lower() for m in _ATTRIBUTE.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
+    return any(x in MARKS or (not whole and (_WORD.findall(x) or [""])[0] in MARKS) for x in names)
+
+
+def _elements(page: str) -> Iterator[tuple[int, bool, str, str, int]]:
+    """(where it starts, whether it closes, name, attributes, where it ends) of the tags, without the content of RAW elements."""
+    at, end = 0, len(page)
+    while found := _TOKEN.search(page, at):
+        at = found.end()
+        tag = (found[2] or found[5] or "").lower()
+        if tag:
+            closing = bool(found[1] or found[4])
+            if tag in RAW and not closing:
+                close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
+                at = close.start() if close else end
+            yield found.start(), closing, tag, found[3] or found[6] or "", at
+
+
+def _extents(page: str) -> tuple[dict[int, int], list[int]]:
+    """Where each element that its own tag closes ends, by its start; and the starts of article and main."""
+    stack: list[tuple[str, int]] = []
+    ends, proper = {}, []
+    for start, closing, tag, attributes, _ in _elements(page):
+        if closing:
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if place is not None:
+                ends[stack[place][1]] = start
+                del stack[place:]
+        elif tag not in VOID and not attributes.endswith("/"):
+            stack.append((tag, start))
+            if tag in ("article", "main"):
+                proper.append(start)
+    return ends, proper
+
+
+def _holds(stack: list[tuple[str, bool, int, bool, bool]], extents: tuple[dict[int, int], list[int]]) -> bool:
+    """Whether an open element is aside on purpose, so that an article below it is aside too.
+
+    It is not where it, or an element of its name around it, is never closed: then it has
+    ended.  Nor is a form, or an element only whose compound class or id (as has-sidebar)
+    is marked, that has every article and main of the page in it: it wraps the page.
+    """
+    ends, proper = extents
+    left: set[str] = set()
+    for name, off, start, wraps, _ in stack:
+        if start not in ends:
+            left.add(name)
+        elif off and name not in left and (not wraps or any(not start < x < ends[start] for x in proper)):
+            return True
+    return False
+
+
 def _kind(tag: str) -> str:
     if tag in ("p", "a", "li", "div"):
         return tag
@@ -53,8 +107,9 @@ def _kind(tag: str) -> str:
 
 def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
     """(kind, text or None for a tag, whether a tag breaks the line) of a page, in order."""
-    stack: list[tuple[str, bool]] = []
-    aside = links = proper = prose = 0  # how many open elements are aside, links, article or main, headings or paragraphs
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # name, whether it is aside, its start, whether it may wrap a whole page, whether it is an article or main that is not aside
+    extents = None
+    aside = links = proper = prose = 0  # how many open elements are aside, links, article or main that is not aside, headings or paragraphs
     at, end = 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
@@ -71,10 +126,10 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
         if closing:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if place is not None:
-                for name, off in stack[place:]:
+                for name, off, _, _, own in stack[place:]:
                     aside -= off
                     links -= name == "a"
-                    proper -= name in ("article", "main")
+                    proper -= own
                     prose -= name == "p" or _kind(name) == "h"
                 del stack[place:]
         else:
@@ -82,22 +137,31 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
             if tag in RAW:
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 at = close.start() if close else end
+            mine = False
             if tag in ("article", "main"):
-                # Content proper: whatever was left open before it has ended.
-                stack, aside, links, proper, prose = [], 0, 0, 0, 0
+                # Content proper: whatever was left open before it has ended, unless it is aside on purpose.
+                if aside and tag == "article" or proper:
+                    extents = extents or _extents(page)
+                    mine = tag == "article" and _marked(attributes, False)
+                if not (aside and (tag == "article" or proper) and _holds(stack, extents)):
+                    around = next((i + 1 for i in range(len(stack) - 1, -1, -1) if stack[i][4] and stack[i][2] in extents[0]), 0) if proper else 0
+                    del stack[around:]
+                    aside, links = sum(x[1] for x in stack), sum(x[0] == "a" for x in stack)
+                    proper, prose = sum(x[4] for x in stack), sum(x[0] == "p" or _kind(x[0]) == "h" for x in stack)
             elif tag in BLOCK and stack and stack[-1][0] == "p":
                 stack.pop()  # a block ends an open paragraph, which is never aside
                 prose -= 1
             if tag not in VOID and not attributes.endswith("/"):
-                off = _is_aside(tag, attributes, any(n in ("article", "main") for n, _ in stack)) or tag in RAW
+                off = mine or _is_aside(tag, attributes, proper > 0) or tag in RAW
+                start, wraps = found.start(), tag == "form" or (tag not in ASIDE and tag not in ("header", "article") and not _marked(attributes, True)) if off else False
                 if tag != "p" or not off:
-                    stack.append((tag, off))
                     aside += off
+                    stack.append((tag, off, start, wraps, tag in ("article", "main") and not aside))
                     links += tag == "a"
-                    proper += tag in ("article", "main")
+                    proper += stack[-1][4]
                     prose += tag == "p" or _kind(tag) == "h"
                 else:
-                    stack.append((f"{tag} ", off))
+                    stack.append((f"{tag} ", off, start, wraps, False))
                     aside += off
         yield ("inner" if aside and proper else "aside" if aside else "") + "<" + _kind(tag), None, tag in BLOCK
 

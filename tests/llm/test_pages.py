@@ -28,3 +28,41 @@ def test_long_asides_do_not_cut_the_text(open_, close, box):
 
 def test_a_list_of_links_outside_the_text_stays_out():
     assert text_of('<div><a href="/a">First</a> <a href="/b">Second</a></div><article><h1>Title</h1><p>Some text.</p></article><ul><li><a href="/c">Third</a></li></ul>') == "Title\nSome text."
+
+
+TEXT = "<h1>Title</h1><p>Some text of the page.</p><p>End.</p>"
+WANT = "Title\nSome text of the page.\nEnd."
+REPLY = '<article class="comment"><p>I think that this is wrong and long enough</p></article>'
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article>{TEXT}</article><section id='comments'>{REPLY * 3}</section>",
+        f"<article>{TEXT}<section id='comments'>{REPLY * 3}</section></article>",
+        f"<main><article>{TEXT}</article>{REPLY * 3}</main>",
+        f"<main>{TEXT}<div id='discussion'><article><p>An unmarked reply to the text</p></article></div></main>",
+        f'<div class="content">{TEXT}</div><section id="comments">{REPLY * 3}</section>',
+        f"<article>{TEXT}</article><aside><article><h2>Teaser</h2><p>Another story of the day</p></article></aside>",
+        f"<article>{TEXT}</article><aside>{REPLY * 3}<article><p>Another story of the day</p></article></aside><div>Made by a friend</div>",
+        f"<aside><article><h2>Teaser</h2><p>Another story of the day</p></article></aside><main>{TEXT}</main>",
+        f'<div class="sidebar"><article><h2>Teaser</h2><p>Another story of the day</p></article></div><article>{TEXT}</article>',
+    ],
+)
+def test_comments_and_teasers_that_are_articles_stay_out(body):
+    assert text_of(body) == WANT
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<form><main>{TEXT}</main></form>",
+        f"<form><article>{TEXT}</article></form>",
+        f'<div class="has-sidebar"><article>{TEXT}</article><aside><p>A box at the side</p></aside></div>',
+        f'<div id="wrap"><div class="ad">An advert that is never closed<article>{TEXT}</article></div>',
+        f"<aside>A box that is never closed<article>{TEXT}</article>",
+        f'<main><article class="post category-social">{TEXT}</article></main>',
+    ],
+)
+def test_what_wraps_or_was_left_open_does_not_hide_the_text(body):
+    assert text_of(body) == WANT
