@@ -1,13 +1,15 @@
 """Relational tables as facts, an attribute at a time.
 
 A row is an entity, a column an attribute, a foreign key a reference.  Entity
-ids are computed from keys, so nothing is numbered by a shuffle, and a query
-reads only the columns of the attributes that it names.  The ``events`` table
+ids are computed from keys, or from the file and row index where keys repeat,
+so nothing is numbered by a shuffle, and a query reads only the columns of the
+attributes that it names.  The ``events`` table
 also gives attributes of users that change over time.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 from annalist.functions.values import to_struct
 from annalist.model import Scan
 
-SPAN = 10**12
-TURNS = 10**6
+#: Ids of one table, and of one conversation; a file of lineitem has room for so many rows.
+SPAN = 1 << 59
+TURNS = 1 << 20
+ROWS = 1 << 36
+#: What comes before the path of a file; Spark writes it in several ways.
+_STORE = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 @dataclass(frozen=True)
@@ -84,11 +90,23 @@ class TableSource:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with _place: the number of their file in the order of names, and their index in it."""
+        files = sorted(re.sub(_STORE, "", f) for f in rows.inputFiles())
+        rows = rows.select("*", F.regexp_replace("_metadata.file_path", _STORE, "").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        if len(files) == 1:
+            return rows.withColumn("_place", F.col("_row"))
+        numbers = self.spark.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
+        number = F.when(F.col("_number").isNull(), F.raise_error(F.concat(F.lit("no number for file "), F.col("_file"))).cast("bigint")).otherwise(F.col("_number"))
+        return rows.join(F.broadcast(numbers), "_file", "left").withColumn("_place", number * ROWS + F.col("_row"))
+
     def _entity(self, table: str) -> Column:
-        if table == "lineitem":  # its keys repeat; whole rows do not
-            return F.lit(ORDER.index("lineitem") * SPAN) + F.pmod(F.xxhash64(*(F.col(c) for c in self.table("lineitem").columns)), F.lit(SPAN))
+        if table == "lineitem":  # its keys repeat, so a row is known by its place
+            return entity_id("lineitem", F.col("_place"))
         if table == "conversations":
-            return entity_id("conversations", F.col("conv_id") * TURNS + F.col("turn"))
+            conv, turn = F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint")
+            fits = conv.between(0, SPAN // TURNS - 1) & turn.between(0, TURNS - 1)
+            return F.when(~fits, F.raise_error(F.concat(F.lit("no id for conversation "), conv, F.lit(" turn "), turn)).cast("bigint")).otherwise(entity_id("conversations", conv * TURNS + turn))
         return entity_id("documents" if table == "labels" else table, F.col(_KEYS[table]))
 
     def _value(self, name: str, x: Attribute) -> Column:
@@ -110,7 +128,7 @@ class TableSource:
         the filter reaches the scan; the caller filters on e and v all the same.
         """
         x = ATTRIBUTES[name]
-        rows = self.table(x.table)
+        rows = self._placed(self.table(x.table)) if x.table == "lineitem" else self.table(x.table)
         if entity is not None:
             owner = "user" if name.startswith("user/") else "documents" if x.table == "labels" else x.table
             column = "user_id" if owner == "user" else _KEYS.get(x.table)
@@ -159,6 +177,8 @@ class TableSource:
             table, _, key = constant.partition(":")
             conv, _, turn = key.partition("-")
             if table in ORDER and conv.isdigit() and (turn.isdigit() or not turn):
+                if int(conv) >= (SPAN // TURNS if turn else SPAN) or int(turn or 0) >= TURNS:
+                    return None
                 return ORDER.index(table) * SPAN + (int(conv) * TURNS + int(turn) if turn else int(conv))
         if isinstance(constant, str) and constant in ATTRIBUTES:
             return self.attribute_id(constant)
@@ -166,8 +186,8 @@ class TableSource:
 
     def named(self, df: DataFrame, column: str, out: str) -> DataFrame:
         key = F.col(column) % SPAN
-        table = F.element_at(F.array(*(F.lit(t) for t in ORDER)), (F.col(column) / F.lit(SPAN)).cast("int") + 1)
-        shown = F.when(table == "conversations", F.concat(F.floor(key / TURNS), F.lit("-"), key % TURNS)).otherwise(key.cast("string"))
+        table = F.element_at(F.array(*(F.lit(t) for t in ORDER)), F.shiftright(F.col(column), SPAN.bit_length() - 1).cast("int") + 1)
+        shown = F.when(table == "conversations", F.concat(F.shiftright(key, TURNS.bit_length() - 1), F.lit("-"), key % TURNS)).otherwise(key.cast("string"))
         attribute = F.element_at(F.array(*(F.lit(n) for n in ATTRIBUTES)), F.least(F.greatest(F.col(column) - 99, F.lit(1)), F.lit(len(ATTRIBUTES))).cast("int"))
         known = F.when(F.col(column).between(100, 99 + len(ATTRIBUTES)), attribute)  # no region has such a key
         return df.withColumn(out, F.coalesce(known, F.concat(table, F.lit(":"), shown)))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
+
 from annalist import registry
+from annalist.plans.query import run
+from annalist.sources.tables import TableSource
 
 
 def test_why_provenance_has_users_of_any_id(spark, tmp_path):
@@ -13,3 +17,34 @@ def test_why_provenance_has_users_of_any_id(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     found = registry.QUERIES["why_provenance"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.v, r.source, r.rx_source) for r in found) == [(39, "view", "view", None), (40, "click", "click", None), (40, "view", "view", "click"), (10**6, "buy", "buy", None)]
+
+
+LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_lines_do_not_share_an_id(spark, tmp_path, files):
+    # Equal rows have equal hashes, as different rows have where these collide.
+    day = datetime.datetime(1996, 1, 1)
+    rows = [(1, 1, 1, 1, 2.0, 10.0, 0.0, 0.0, "A", "F", day)] * 2 + [(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "A", "F", day) for k in range(2, 30)]
+    path = tmp_path / "a b%20c"
+    spark.createDataFrame(rows, LINE).repartition(files).write.parquet(f"{path}/lineitem.parquet")
+    found = registry.QUERIES["agg_sum_float"](spark, str(path)).collect()
+    assert [tuple(r) for r in found] == [("A", "F", 32.0, 48.0)]
+    ids = TableSource(spark, str(path)).intervals("lineitem/quantity")
+    assert ids.select("e").distinct().count() == len(rows)
+
+
+def test_conversations_of_any_size_of_id(spark, tmp_path):
+    rows = [(5, 0, "user", "a"), (10**6, 1, "user", "b"), (10**11 + 7, 999_999, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    source = TableSource(spark, str(tmp_path))
+    query = {"find": ["?c", "?t"], "where": [["?c", "conversations/role", "user"], ["?c", "conversations/text", "?t"]]}
+    assert sorted(map(tuple, run(source, query).collect())) == [("conversations:1000000-1", "b"), ("conversations:100000000007-999999", "c"), ("conversations:5-0", "a")]
+    assert [r.t for r in run(source, {"find": ["?t"], "where": [["conversations:100000000007-999999", "conversations/text", "?t"]]}).collect()] == ["c"]
+
+
+def test_a_conversation_without_room_is_an_error(spark, tmp_path):
+    spark.createDataFrame([(2**40, 1, "user", "a")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    with pytest.raises(Exception, match="no id for conversation"):
+        TableSource(spark, str(tmp_path)).intervals("conversations/text").collect()
