@@ -48,3 +48,9 @@ def test_a_conversation_without_room_is_an_error(spark, tmp_path):
     spark.createDataFrame([(2**40, 1, "user", "a")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     with pytest.raises(Exception, match="no id for conversation"):
         TableSource(spark, str(tmp_path)).intervals("conversations/text").collect()
+
+
+def test_dangling_references_know_every_nation(spark, tmp_path):
+    spark.createDataFrame([(k, f"n{k}", 0) for k in range(25)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, 3), (2, 20), (3, 24), (4, 25)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r.e for r in registry.QUERIES["dangling_references"](spark, str(tmp_path)).collect()] == [4]
