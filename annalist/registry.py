@@ -398,13 +398,18 @@ def excise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("WITH n AS (SELECT c_name AS name, c_custkey + 1 AS k FROM customer) SELECT n.name, c.c_custkey AS owner FROM n LEFT JOIN customer c ON c.c_name = n.name")
 def upsert_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = TableSource(spark, sf_dir).scan("customer/name").df
-    return names.select(F.col("v").alias("name")).join(names.select(F.col("v").alias("name"), (F.col("e") % SPAN).alias("owner")), "name", "left")
+    from annalist.sources.transact import owner_rows
+
+    names = TableSource(spark, sf_dir).intervals("customer/name")
+    return owner_rows(names, names.select("v")).select(F.col("v").alias("name"), (F.col("owner") % SPAN).alias("owner"))
 
 
 @register(_FOLD + "SELECT user_id, v = 'click' AS fits FROM f WHERE rx IS NULL")
 def cas_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _user(temporal.visible(_last_type(spark, sf_dir)), (F.col("v") == "click").alias("fits"))
+    from annalist.sources.transact import swap_rows
+
+    facts = _last_type(spark, sf_dir)
+    return _user(swap_rows(facts, temporal.visible(facts).select("e", F.lit("click").alias("expected"))), "fits")
 
 
 @register("SELECT event_id, epoch_us(ts) AS at, event_type AS type FROM events")

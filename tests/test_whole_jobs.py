@@ -9,6 +9,7 @@ import pytest
 from annalist import registry
 from annalist.plans.query import run
 from annalist.sources.tables import TableSource
+from annalist.sources.transact import owner_rows, swap_rows
 
 
 def test_why_provenance_has_users_of_any_id(spark, tmp_path):
@@ -54,3 +55,30 @@ def test_dangling_references_know_every_nation(spark, tmp_path):
     spark.createDataFrame([(k, f"n{k}", 0) for k in range(25)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
     spark.createDataFrame([(1, 3), (2, 20), (3, 24), (4, 25)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
     assert [r.e for r in registry.QUERIES["dangling_references"](spark, str(tmp_path)).collect()] == [4]
+
+
+FACTS = [(1, "a", None), (2, "b", None), (3, "b", None), (4, "old", 7), (4, "new", None), (5, "gone", 8)]
+
+
+def test_owners_of_wanted_values(spark):
+    facts = spark.createDataFrame(FACTS, "e long, v string, rx long")
+    wanted = spark.createDataFrame([(v,) for v in ("a", "b", "old", "new", "gone", "none")], "v string")
+    assert sorted(map(tuple, owner_rows(facts, wanted).collect()), key=str) == [("a", 1, 1), ("b", 2, 2), ("b", 3, 2), ("gone", None, 0), ("new", 4, 1), ("none", None, 0), ("old", None, 0)]
+
+
+def test_what_a_swap_expects(spark):
+    facts = spark.createDataFrame([*FACTS, (6, "x", None), (6, "y", None)], "e long, v string, rx long")
+    asked = [(1, "a", True), (1, "b", False), (1, None, False), (4, "old", False), (4, "new", True), (5, "gone", False), (5, None, True), (6, "x", False), (6, None, False), (9, None, True), (9, "a", False)]
+    found = swap_rows(facts, spark.createDataFrame([x[:2] for x in asked], "e long, expected string")).collect()
+    assert {tuple(r) for r in found} == set(asked) and len(found) == len(asked)
+
+
+@pytest.mark.parametrize("name, function", [("upsert_resolve", "owner_rows"), ("cas_outcome", "swap_rows")])
+def test_queries_reach_the_write_algebra(spark, monkeypatch, name, function):
+    from annalist.sources import transact
+
+    called = []
+    real = getattr(transact, function)
+    monkeypatch.setattr(transact, function, lambda *a: called.append(function) or real(*a))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert called == [function]
