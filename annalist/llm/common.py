@@ -30,6 +30,16 @@ TEXT = 0
 _PART_BYTES = 24 << 20
 
 
+#: What empties the caches that operators keep in a worker between tasks.
+caches: list[Callable[[], object]] = []
+
+
+def forget() -> None:
+    """Empty all caches of this process, before an operator fills its own."""
+    for clear in caches:
+        clear()
+
+
 # ---------------------------------------------------------------- shared folder
 
 

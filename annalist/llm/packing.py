@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from annalist.llm import common as C
-from annalist.llm.bpe import byte_texts, compiled, encoder_of
+from annalist.llm.bpe import _texts, compiled, encoder_of, send
 
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -80,12 +79,10 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, group_
     Returns a row per piece: doc_id, start (ids of its document before it),
     length, ids (little-endian unsigned 32-bit numbers), doc_tokens, sequence_id
     and offset in the sequence, gapless from 0.  Null text is empty: its only id
-    is ``end_id``.  Rows may repeat; each is packed by itself.  An empty table
+    is ``end_id``.  A null doc_id stays null.  Rows may repeat; each is packed by itself.  An empty table
     gives an empty result.
     """
-    C.ship(docs.sparkSession)
-    base = C.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tables = docs.sparkSession.sparkContext.broadcast(compiled(path))  # as large as the vocabulary
+    tables = send(docs.sparkSession, compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tables, show=False)
@@ -112,7 +109,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, group_
         for batch in batches:
             data, offsets = C.text_buffers(batch.column(1))
             for i, j in C.slices(offsets, 2 << 20):
-                ids, n = encoder.encode(byte_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                ids, n = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 held.append((batch.column(0).slice(i, j - i), ids, n + 1))
                 size += len(ids)
@@ -124,4 +121,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, group_
         if held:
             yield from flush()[0]
 
-    return base.mapInArrow(run, OUT)
+    return _texts(docs).mapInArrow(run, OUT)

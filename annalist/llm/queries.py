@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.bpe import bpe_encode
+from annalist.llm.bpe import bpe_encode, frequent_words
 from annalist.llm.ctw import ctw_score
 from annalist.llm.html import extract
 from annalist.llm.jaccard import jaccard_join
@@ -66,7 +66,8 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    docs = _table(spark, sf_dir, "documents")
+    out = bpe_encode(docs, tokenizer_path(), frequent_words(docs))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -1,4 +1,4 @@
-"""Quality rules, packing, BPE, language identification, page text and top-k against plain versions."""
+"""Quality rules, packing, language identification, page text and top-k against plain versions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from annalist.llm import bpe, html, langid, packing, quality, topk
+from annalist.llm import html, langid, packing, quality, topk
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -24,39 +24,6 @@ def documents(spark):
     return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
 
 
-def test_bpe_matches_the_library(spark):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(PATH)
-    texts = ODD + documents(spark)
-    for r in bpe.bpe_encode(frame(spark, texts), PATH).collect():
-        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert (list(r.ids), r.n_tokens) == (want, len(want))
-        assert r.decoded == library.decode(want, skip_special_tokens=False)
-
-
-def test_bpe_forgets_and_relearns():
-    e = bpe.Encoder(bpe.mapped(bpe.compiled(PATH)), keep=3)
-    texts = [b"one two three four", b"five one \xc3\xa9t\xc3\xa9", b"", b"one two three four"]
-    once, n = e.encode(texts)
-    again = [e.encode([t]) for t in texts]
-    assert np.concatenate([a for a, _ in again]).tolist() == once.tolist() and [int(c[0]) for _, c in again] == n.tolist()
-
-
-def test_automaton_numbers_every_word():
-    words = sorted({bytes(random.Random(i).choices(b"abc", k=1 + i % 7)) for i in range(300)})
-    tables = bpe.compile_words(words)
-    letters, lengths = bpe._matrix([*words, b"abcabcabc", b"d"])
-    assert bpe.look_up(tables, letters, lengths).tolist() == [*range(len(words)), -1, -1]
-
-
-def test_merging_in_bulk_and_one_by_one_agree():
-    tables = bpe.mapped(bpe.compiled(PATH))
-    words = [bytes(random.Random(i).choices(b"etaoin'\xc3\xa9", k=1 + i % 20)) for i in range(400)]
-    ids, n = bpe.merge_words(tables, *bpe._matrix(words))
-    assert [ids[i, : n[i]].tolist() for i in range(len(words))] == [bpe.merge_long(tables, w) for w in words]
-
-
 def test_packing_is_gapless_and_complete(spark):
     from tokenizers import Tokenizer
 
