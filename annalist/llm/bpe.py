@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import common as C
+from annalist.llm.spans import KEEP
 
 _NONE = np.int32(1 << 30)
 
@@ -424,7 +425,6 @@ _SECOND = np.zeros(256, bool)
 _SECOND[0x80:0xC0] = True
 _SECOND[[0x97, 0xB7]] = False
 _ONE, _TWO = np.frombuffer(b"stmd", np.uint8), (b"re", b"ve", b"ll")
-_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 LONG = 16
 
 
@@ -617,10 +617,10 @@ class Encoder:
     def _short(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Rows of words of at most LONG bytes; new ones are encoded."""
         eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-        first = eight[starts] & _KEEP[np.minimum(lengths, 8)]
+        first = eight[starts] & KEEP[np.minimum(lengths, 8)]
         second = np.zeros(len(starts), np.uint64)
         more = np.flatnonzero(lengths > 8)
-        second[more] = eight[starts[more] + 8] & _KEEP[lengths[more] - 8]
+        second[more] = eight[starts[more] + 8] & KEEP[lengths[more] - 8]
         size = lengths.astype(np.uint8)
         h = self._hash(first, second, lengths.view(np.uint64))
         found = self._find(first, second, size, h)
@@ -725,11 +725,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, most: int = 20_000) -> tuple[bytes, ...]:
-    """The most frequent words of all texts, as the pre-tokenizer gives them, ties in the order of their bytes.
+    """The most frequent words of all texts, as the pre-tokenizer gives them: at most ``most``, all of the same class of counts or none.
 
-    Counted in the tasks that read the texts and summed by one aggregate; only
-    the report of ``most`` words comes to the driver.  Words of more than LONG
-    bytes and of hard pieces are left to merging.
+    Counted in the tasks that read the texts and summed by one aggregate.  A
+    histogram of the counts (a few hundred rows) sets the least count; only words
+    with as many come to the driver.  Words of more than LONG bytes and of hard
+    pieces are left to merging.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -752,7 +753,7 @@ def frequent_words(docs: DataFrame, most: int = 20_000) -> tuple[bytes, ...]:
                 if not len(starts):
                     continue
                 eight = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))
-                held.append((eight[starts] & _KEEP[np.minimum(size, 8)], np.where(size > 8, eight[starts + 8], 0) & _KEEP[np.maximum(size - 8, 0)], np.ones(len(starts), np.int64)))
+                held.append((eight[starts] & KEEP[np.minimum(size, 8)], np.where(size > 8, eight[starts + 8], 0) & KEEP[np.maximum(size - 8, 0)], np.ones(len(starts), np.int64)))
                 if len(held) == 4:
                     held = [summed()]
                     if len(held[0][0]) > 500_000:
@@ -765,8 +766,17 @@ def frequent_words(docs: DataFrame, most: int = 20_000) -> tuple[bytes, ...]:
         body = np.stack([x, y], 1).astype("<u8").view("S16").reshape(-1)
         return pa.RecordBatch.from_arrays([pa.array(body.tolist(), pa.binary()), pa.array(n)], ["word", "n"])
 
-    counts = _texts(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return tuple(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+    counts, path = C.stored(C.in_arrow(_texts(docs).select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    steps = counts.groupBy(F.floor(8 * F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    room, least = most, None
+    for r in sorted(steps, reverse=True):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["least"]
+    found = counts.where(F.col("n") >= F.lit(least)).select("word").collect() if least is not None else []
+    C.dropped(docs.sparkSession, path)
+    return tuple(sorted(bytes(r["word"]) for r in found))
 
 
 def bpe_encode(docs: DataFrame, path: str, words: tuple[bytes, ...] = ()) -> DataFrame:
@@ -789,4 +799,4 @@ def bpe_encode(docs: DataFrame, path: str, words: tuple[bytes, ...] = ()) -> Dat
                 arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), arrays, C._cells(shown, np.cumsum(m)).cast(pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return C.in_arrow(_texts(docs), run, "doc_id long, n_tokens long, ids array<int>, decoded string", keep=True)

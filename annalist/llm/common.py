@@ -9,10 +9,11 @@ the payload columns ``c0 .. c5`` hold the raw bytes of the columns.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,8 @@ from annalist.shipping import ship
 N_COLS = 6
 PACKED = "dest int, kind int, " + ", ".join(f"c{i} binary" for i in range(N_COLS))
 PACKED_ARROW = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), *((f"c{i}", pa.binary()) for i in range(N_COLS))])
-TEXT = 0
+#: Kind of whole texts; the largest, since a task gets its rows in the order of their kinds.
+TEXT = 1000
 _PART_BYTES = 24 << 20
 
 
@@ -40,6 +42,29 @@ def forget() -> None:
         clear()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: bool = False) -> DataFrame:
+    """``mapInArrow`` whose tasks begin without the caches of other operators (unless ``keep``) and give their memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forget()
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- shared folder
 
 
@@ -133,13 +158,6 @@ def with_ids(out: DataFrame, base: DataFrame) -> DataFrame:
     return out.join(base.select("key", "doc_id"), "key").select("doc_id", *rest)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "left") -> DataFrame:
-    """Join on keys of which one may hold a third of ``left``: rows of ``left`` are dealt to ``salts`` copies of ``right``."""
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in left.columns if c not in on][:1] or on), F.lit(salts)).cast("int"))
-    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
-
-
 def row_number(partition: list[str], *order) -> F.Column:  # type: ignore[name-defined]
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
 
@@ -227,11 +245,6 @@ def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, lengths)
 
 
-def unpacked(cells: Iterable[bytes], dtype) -> np.ndarray:
-    data = b"".join(cells)
-    return np.frombuffer(data, dtype)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column one after the other, and the n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
@@ -276,7 +289,7 @@ def text_rows(docs: DataFrame, n: int) -> DataFrame:
                     body.append(squeeze.compress(ragged(data, starts[a:b], lengths[a:b]).tobytes()))
                 yield packed_rows(own, TEXT, [pa.array(x, pa.binary()) for x in (k, ln, body)])
 
-    return docs.select("key", "text").mapInArrow(pack, PACKED)
+    return in_arrow(docs.select("key", "text"), pack, PACKED)
 
 
 def opened(row: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -285,22 +298,73 @@ def opened(row: tuple[bytes, bytes, bytes]) -> tuple[np.ndarray, np.ndarray, byt
     return keys, np.concatenate([[0], np.cumsum(lengths)]), zstandard.ZstdDecompressor().decompress(row[2], max_output_size=int(lengths.sum()) or 1)
 
 
-def meet(rows: DataFrame, n: int, work: Callable[[dict[int, list[tuple[bytes, ...]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Bring packed rows of one ``dest`` to one task; ``work`` gets the partition's cells by kind, with ``dest`` as the last."""
+class Rows:
+    """Packed rows of one kind, as slices of Arrow batches; iterated, tuples of their cells and ``dest``."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+
+    def __iter__(self) -> Iterator[tuple]:
+        for part in self.parts:
+            yield from _tuples(part)
+
+    def column(self, i: int, dtype) -> np.ndarray:
+        """All bytes of a payload column, one row's after the other's."""
+        found = []
+        for part in self.parts:
+            x = part.column(2 + i)
+            at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+            found.append(np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]] if x.buffers()[2] is not None else np.zeros(0, np.uint8))
+        return np.concatenate(found or [np.zeros(0, np.uint8)]).view(dtype)
+
+
+    def by_dest(self) -> dict[int, Rows]:
+        out: dict[int, Rows] = {}
+        for part in self.parts:
+            dest = part.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, dest[1:] != dest[:-1])) if len(dest) else []
+            for a, b in zip(cuts, [*cuts[1:], len(dest)], strict=True):
+                out.setdefault(int(dest[a]), Rows()).parts.append(part.slice(a, b - a))
+        return out
+
+
+def _tuples(part: pa.RecordBatch) -> Iterator[tuple]:
+    dests = part.column(0).to_pylist()
+    for i in range(part.num_rows):
+        yield (*(part.column(2 + c)[i].as_py() for c in range(N_COLS)), dests[i])
+
+
+def meet(rows: DataFrame, n: int, work: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Bring packed rows of one ``dest`` to one task; ``work`` gets the partition's rows by kind.
+
+    Spark sorts a partition by kind and dest, with spilling, so texts come last:
+    they are an iterator that is read as it is consumed, one row at a time, and
+    only what is to be known about them is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[bytes, ...]]] = {}
+        by: dict = {}
+
+        def texts(first: pa.RecordBatch) -> Iterator[tuple]:
+            yield from _tuples(first)
+            for batch in batches:
+                yield from _tuples(batch)
+
         for batch in batches:
-            kinds = batch.column(1).to_pylist()
-            cells = [batch.column(2 + i).to_pylist() for i in range(N_COLS)]
-            dests = batch.column(0).to_pylist()
-            for i, kind in enumerate(kinds):
-                by.setdefault(kind, []).append((*(c[i] for c in cells), dests[i]))
+            kinds = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(kinds) else []
+            for a, b in zip(cuts, [*cuts[1:], len(kinds)], strict=True):
+                if kinds[a] == TEXT:
+                    by[TEXT] = texts(batch.slice(a, b - a))
+                else:
+                    by.setdefault(int(kinds[a]), Rows()).parts.append(batch.slice(a, b - a))
+            if TEXT in by:
+                break
         if by:
             yield from work(by)
 
-    return rows.repartition(n, "dest").mapInArrow(run, schema)
+    return in_arrow(rows.repartition(n, "dest").sortWithinPartitions("kind", "dest"), run, schema)
 
 
-def column(rows: list[tuple[bytes, ...]], i: int, dtype) -> np.ndarray:
-    return unpacked((r[i] for r in rows), dtype)
+def column(rows: Rows | list, i: int, dtype) -> np.ndarray:
+    return rows.column(i, dtype) if rows else np.zeros(0, dtype)

@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from annalist.llm import common as C
 from annalist.llm.jaccard import word_spans
 from annalist.llm.lines import _LOWER
-from annalist.llm.rolling import Spans
+from annalist.llm.spans import span_hashes
 
 DEPTH = 5
 END, GAP = 10, 32
@@ -141,7 +142,7 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     low = _LOWER[data]
     starts, ends, doc = word_spans(low, offsets)
     size = ends - starts
-    hashes = C.mix64(Spans(low).of(starts, ends) + size.view(np.uint64)) >> np.uint64(2)
+    hashes = span_hashes(low, starts, ends, 1)[0] >> np.uint64(2)
     words = np.bincount(doc, minlength=n)
     length = np.bincount(doc, weights=size + 1, minlength=n).astype(np.int64)
     length = np.maximum(length, 1)
@@ -164,20 +165,17 @@ def held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids], bool)
 
 
-def _groups(rows: list[tuple]) -> Iterator[tuple[int, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-    """Per group its documents: (keys, bytes, offsets), a chunk at a time."""
-    by: dict[int, list[tuple]] = {}
-    for row in rows:
-        by.setdefault(row[-1], []).append(row)
+def _groups(rows: Iterable[tuple]) -> Iterator[tuple[int, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Per group (rows come in the order of groups) its documents: (keys, bytes, offsets), a chunk at a time."""
 
-    def chunks(own: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def chunks(own: Iterable[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for row in own:
             keys, offsets, body = C.opened(row)
             data = np.frombuffer(body, np.uint8)
             for i, j in C.slices(offsets, CHUNK):
                 yield keys[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
-    for group, own in by.items():
+    for group, own in groupby(rows, key=lambda row: row[-1]):
         yield group, chunks(own)
 
 
@@ -281,16 +279,11 @@ def ctw_score(docs: DataFrame) -> DataFrame:
     end_score = math.log10(ends + 0.1)
 
     def score(by: dict) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, dict[int, list[tuple]]] = {}
-        for kind in (LENGTHS, COUNTS):
-            for row in by.get(kind, []):
-                tables.setdefault(row[-1], {}).setdefault(kind, []).append(row)
+        tables = {kind: by.pop(kind).by_dest() if kind in by else {} for kind in (LENGTHS, COUNTS)}
         for group, chunks in _groups(by.get(C.TEXT, [])):
-            own = tables.get(group, {})
-            gram_index = pd.Index(C.column(own.get(LENGTHS, []), 0, np.int64))
-            gram_len = C.column(own.get(LENGTHS, []), 1, np.float64)
-            word_index = pd.Index(C.column(own.get(COUNTS, []), 0, np.int64))
-            word_count = C.column(own.get(COUNTS, []), 1, np.int64)
+            lengths_, counts_ = (tables[kind].pop(group, []) for kind in (LENGTHS, COUNTS))
+            gram_index, gram_len = pd.Index(C.column(lengths_, 0, np.int64)), C.column(lengths_, 1, np.float64)
+            word_index, word_count = pd.Index(C.column(counts_, 0, np.int64)), C.column(counts_, 1, np.int64)
             word_score = np.log10(word_count + 0.1)
             for keys, data, offsets in chunks:
                 g, length, h, count = sequences(data, offsets)

@@ -265,4 +265,4 @@ def extract(pages: DataFrame, labelled: list[tuple[str, str]] | None = None) ->
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(x, weight) for x in part.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
-    return base.mapInArrow(run, "page_id long, url string, text string")
+    return C.in_arrow(base, run, "page_id long, url string, text string")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from annalist.llm import common as C
 from annalist.llm.components import components
 from annalist.llm.lines import _LOWER, _SPACE
-from annalist.llm.rolling import Spans
+from annalist.llm.spans import span_hashes
 
 CHUNK = 1 << 20
 MEMBER, SET = 1, 2
@@ -67,7 +67,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     """Distinct 48-bit shingle hashes of each document, in order, and their number."""
     n = len(offsets) - 1
     starts, ends, doc = word_spans(data, offsets)
-    words = C.mix64(Spans(_LOWER[data]).of(starts, ends) + (ends - starts).view(np.uint64))
+    (words,) = span_hashes(_LOWER[data], starts, ends, 1)
     counts = np.bincount(doc, minlength=n)
     take = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     first = np.cumsum(counts) - counts
@@ -130,7 +130,7 @@ def signed(base: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * bands, pa.int32()), pa.array(full.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], pa.int64()), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists], ["key", "n", "s1", "s2", "bands"])
 
-    return base.select("key", "text").mapInArrow(scan, "key long, n long, s1 long, s2 long, bands array<long>")
+    return C.in_arrow(base.select("key", "text"), scan, "key long, n long, s1 long, s2 long, bands array<long>")
 
 
 def _shared(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
             k, links, root, m = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(links.astype(np.int64)), pa.array(root), pa.array(m > 0)], ["rep", "links", "root", "many"])
 
-    told = members.mapInArrow(tell, C.PACKED)
+    told = C.in_arrow(members, tell, C.PACKED)
     sent = C.meet(C.text_rows(base, n).unionByName(told), n, send, C.PACKED)
     found, _ = C.stored(C.meet(sent, n, verify, "rep long, links long, root long, many boolean"), "links")
     one = found.where("not many").select("rep", "links", "root")

@@ -181,4 +181,4 @@ def language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, window: int = WIND
                     score = np.where(letters, np.clip(mean.max(1), 0, 1), 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return base.select("doc_id", "held_out", "text", F.col("text").rlike(r"\p{L}").alias("letters")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return C.in_arrow(base.select("doc_id", "held_out", "text", F.col("text").rlike(r"\p{L}").alias("letters")), run, "doc_id long, held_out boolean, lang_pred string, score double")

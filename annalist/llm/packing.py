@@ -121,4 +121,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, group_
         if held:
             yield from flush()[0]
 
-    return _texts(docs).mapInArrow(run, OUT)
+    return C.in_arrow(_texts(docs), run, OUT, keep=True)

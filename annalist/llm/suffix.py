@@ -10,8 +10,8 @@ dealt into buckets first, and only those that can have a partner are sorted:
    It depends on the window's bytes only, so equal windows have equal anchors:
    the anchor is the bucket of the suffix that starts the window.  Windows next
    to each other mostly share an anchor; such a run is a *segment*, described by
-   its anchor's hash, the hash of its bytes and its place.
-2. *Copies.*  Segments alike in both hashes hold the same windows.  All but the
+   its anchor's hash, a 128-bit hash of its bytes and its place.
+2. *Copies.*  Segments alike in all hashes hold the same windows.  All but the
    first are copies; they are collapsed in the task that reads them and again in
    the bucket, so a bucket holds a row per reading task and distinct segment
    however many copies there are.
@@ -22,8 +22,9 @@ dealt into buckets first, and only those that can have a partner are sorted:
    bytes) is sorted by 32 bytes, and longer ties are resolved by the ranks of the
    cover places that lie equally far behind both suffixes.  The first suffix of
    each class of equal windows is new, the others repeat it.
-   A bucket with more than ``hot_segments`` distinct segments is split further,
-   by the hash of each window, before its bytes are moved.
+   A bucket with more than ``hot_segments`` distinct segments is split further
+   before its bytes are moved: each of its windows travels by itself, dealt by
+   a hash of its own bytes, so equal windows still meet and are still sorted.
 4. *Claims.*  Only new windows are reported to their documents; every other
    window of a document is repeated, and the bytes it covers are removed.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm import common as C
-from annalist.llm.rolling import Spans
+from annalist.llm.spans import eights, span_hashes
 
 GRAM = 20
 CHUNK = 1 << 20
@@ -58,14 +59,23 @@ OUT = "key long, n_bytes long, n_removed long, n_spans long, spans array<struct<
 # ---------------------------------------------------------------- anchors and segments
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from every place on; it only deals windows to buckets."""
+    words = eights(data)[: len(data) - 8 + 1]
+    n = len(data) - GRAM + 1
+    x = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    x ^= words[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    x += words[GRAM - 8 : n + GRAM - 8] * np.uint64(0xD6E8FEB86659FD93)
+    return C.mix64(x)
+
+
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Segments of a buffer of whole documents that end at ``ends``: (first start, number of starts, anchor's hash, hash)."""
+    """Segments of a buffer of whole documents that end at ``ends``: (first start, number of starts, anchor's hash, two hashes)."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    spans = Spans(data)
-    grams = C.mix64(spans.each(GRAM))
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
+    grams = _grams(data)
     bits = max(1, int(len(data)).bit_length())
     low = np.uint64((1 << bits) - 1)
     m = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -87,8 +97,8 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     ok = fits[lo]
     lo, count = lo[ok], count[ok]
     at = anchor[lo]
-    own = Spans(data, 1).of(lo, lo + count + length - 1)
-    return lo, count, grams[at], C.mix64(own + C.mix64(((at - lo) * 4096 + count).view(np.uint64)))
+    h2, h3 = span_hashes(data, lo, lo + count + length - 1)
+    return lo, count, grams[at], C.mix64(h2 + C.mix64(((at - lo) * 4096 + count).view(np.uint64))), h3
 
 
 def _sections(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -102,13 +112,13 @@ def _sections(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, length: i
             yield piece, np.array([len(piece)]), keys[i:j], np.array([at - offsets[i]])
 
 
-def _first_of(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of each (h1, h2), ordered by h1, and the number of distinct h2 with each one's h1."""
-    order = np.lexsort((lo, key, h2, h1))
-    a, b = h1[order], h2[order]
+def _first_of(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray, key: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each (h1, h2, h3), ordered by h1, and the number of such with each one's h1."""
+    order = np.lexsort((lo, key, h3, h2, h1))
+    a, b, c = h1[order], h2[order], h3[order]
     if not len(order):
         return order, order
-    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))
     order = order[first]
     a = h1[order]
     cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
@@ -124,27 +134,28 @@ def anchor_rows(docs: DataFrame, n: int, length: int) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h1, h2, key, lo, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            keep, _ = _first_of(h1, h2, key, lo)
+            h1, h2, h3, key, lo, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            keep, _ = _first_of(h1, h2, h3, key, lo)
             keep = keep[np.lexsort((lo[keep], key[keep]))]
-            yield C.packed(C.dest_of(h1[keep].view(np.int64), n), [h1[keep], h2[keep], key[keep], lo[keep].astype(np.int32), count[keep].astype(np.int16)], SEGMENT)
+            yield C.packed(C.dest_of(h1[keep].view(np.int64), n), [h1[keep], h2[keep], h3[keep], key[keep], lo[keep].astype(np.int32), count[keep].astype(np.int16)], SEGMENT)
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = C.text_buffers(batch.column(1))
             for piece, ends, own, place in _sections(data, offsets, keys, length):
-                lo, count, h1, h2 = segments(piece, ends, length)
+                lo, count, h1, h2, h3 = segments(piece, ends, length)
                 doc = np.searchsorted(ends, lo, "right")
                 begin = np.concatenate([[0], ends[:-1]])
-                held.append((h1, h2, own[doc], lo - begin[doc] + place[doc], count))
+                held.append((h1, h2, h3, own[doc], lo - begin[doc] + place[doc], count))
                 size += len(lo)
-                if size >= 1 << 20:
+                if size >= 1 << 19:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush()
 
-    return docs.select("key", "text").mapInArrow(scan, C.PACKED)
+    return C.in_arrow(docs.select("key", "text"), scan, C.PACKED)
 
 
 # ---------------------------------------------------------------- difference-cover suffix sort
@@ -287,9 +298,11 @@ def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_00
     n = C.parts_for(base)
 
     def collapse(by: dict) -> Iterator[pa.RecordBatch]:
-        rows = by[SEGMENT]
-        h1, h2, key, lo, count = (C.column(rows, i, t) for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int32, np.int16)))
-        first, variants = _first_of(h1, h2, key, lo)
+        rows = by.pop(SEGMENT)
+        h1, h2, h3, key, lo, count = (C.column(rows, i, t) for i, t in enumerate((np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int16)))
+        del rows
+        first, variants = _first_of(h1, h2, h3, key, lo)
+        del h2, h3
         one = first[variants == 1]
         yield _claims(key[one], lo[one], count[one], n)
         more, variants = first[variants > 1], variants[variants > 1]
@@ -302,7 +315,7 @@ def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_00
     def cut_out(by: dict) -> Iterator[pa.RecordBatch]:
         if REQUEST not in by:
             return
-        rows = by[REQUEST]
+        rows = by.pop(REQUEST)
         key, lo, count, h1, hot = (C.column(rows, i, t) for i, t in enumerate((np.int64, np.int32, np.int16, np.uint64, np.int8)))
         order = np.lexsort((lo, key))
         key, lo, count, h1, hot = key[order], lo[order].astype(np.int64), count[order].astype(np.int64), h1[order], hot[order]
@@ -317,17 +330,19 @@ def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_00
             k, at, m, h = key[own], lo[own], count[own], h1[own]
             split = hot[own] > 0
             if split.any():
-                # One window each, dealt by its own bytes; equal windows here are left to the earliest.
-                each = C.ragged_index(at[split], m[split])
-                own_h = np.repeat(begin[split], m[split])
-                window = C.mix64(Spans(data).of(own_h + each, own_h + each + length))
-                k = np.concatenate([k[~split], np.repeat(k[split], m[split])])
-                begin = np.concatenate([begin[~split], own_h])
-                at = np.concatenate([at[~split], each])
-                m = np.concatenate([m[~split], np.ones(len(each), np.int64)])
-                h = np.concatenate([h[~split], window])
-                keep, _ = _first_of(h, np.where(m > 1, C.mix64(k.view(np.uint64) + at.view(np.uint64)), 0), k, at)
-                k, begin, at, m, h = k[keep], begin[keep], at[keep], m[keep], h[keep]
+                # One window each; of those equal within a chunk only the earliest goes.
+                found = []
+                s_k, s_b, s_at, s_m = k[split], begin[split], at[split], m[split]
+                size = s_m + length - 1
+                for i, j in C.slices(np.concatenate([[0], np.cumsum(size)]), 2 << 20):
+                    text = C.ragged(data, s_b[i:j] + s_at[i:j], size[i:j])
+                    place, own_k, own_b = C.ragged_index(s_at[i:j], s_m[i:j]), np.repeat(s_k[i:j], s_m[i:j]), np.repeat(s_b[i:j], s_m[i:j])
+                    new = new_windows(text, C.ragged_index(np.cumsum(size[i:j]) - size[i:j], s_m[i:j]), own_k, place, length)
+                    found.append((place[new], own_k[new], own_b[new]))
+                each, own_k, own_b = (np.concatenate(x) for x in zip(*found, strict=True))
+                (window,) = span_hashes(data, own_b + each, own_b + each + length, 1)
+                k, begin, at = (np.concatenate([x[~split], y]) for x, y in ((k, own_k), (begin, own_b), (at, each)))
+                m, h = np.concatenate([m[~split], np.ones(len(each), np.int64)]), np.concatenate([h[~split], window])
             dest = C.dest_of(h.view(np.int64), n)
             order = np.argsort(dest, kind="stable")
             k, begin, at, m, h, dest = k[order], begin[order], at[order], m[order], h[order], dest[order]
@@ -342,7 +357,7 @@ def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_00
     cut = C.meet(texts.unionByName(requests), n, cut_out, C.PACKED)
 
     def sort_bucket(by: dict) -> Iterator[pa.RecordBatch]:
-        rows = by[SEGMENT]
+        rows = by.pop(SEGMENT)
         h1, key, lo, count = (C.column(rows, i, t) for i, t in enumerate((np.uint64, np.int64, np.int32, np.int16)))
         data = C.column(rows, 4, np.uint8)
         lo, count = lo.astype(np.int64), count.astype(np.int64)
@@ -377,7 +392,7 @@ def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_00
     claims = claims.unionByName(C.meet(cut, n, sort_bucket, C.PACKED))
 
     def remove(by: dict) -> Iterator[pa.RecordBatch]:
-        rows = by.get(CLAIM, [])
+        rows = by.pop(CLAIM, [])
         key, lo, count = (C.column(rows, i, t) for i, t in enumerate((np.int64, np.int32, np.int16)))
         order = np.argsort(key, kind="stable")
         key, lo, count = key[order], lo[order].astype(np.int64), count[order].astype(np.int64)
@@ -385,7 +400,7 @@ def dedup_passages(base: DataFrame, length: int = 100, hot_segments: int = 50_00
             keys, offsets, body = C.opened(row)
             data = np.frombuffer(body, np.uint8)
             a, b = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
-            for i, j in C.slices(offsets, 8 << 20):
+            for i, j in C.slices(offsets, 2 << 20):
                 yield _removed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], [(lo[x:y], count[x:y]) for x, y in zip(a[i:j], b[i:j], strict=True)], length, whole_characters)
 
     return C.meet(texts.unionByName(claims), n, remove, OUT)

@@ -162,7 +162,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192) ->
             vec = pa.array(best.row, mask=best.row == _NO_ID)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best.query), turn, np.int32)), pa.array(best.query), pa.array(own[best.query]), vec, pa.array(best.score)], ["turn", "q", "query_id", "vec_id", "score"])
 
-        found = rows.select("vec_id", "v").mapInArrow(run, "turn int, q long, query_id long, vec_id long, score long")
+        found = C.in_arrow(rows.select("vec_id", "v"), run, "turn int, q long, query_id long, vec_id long, score long")
         place = C.row_number(["turn", "q"], F.col("score").desc(), F.col("vec_id").asc_nulls_last())
         out = found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         done.append(out if last and not done else C.stored(out, "topk")[0])

@@ -8,7 +8,10 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from annalist.llm import lines, suffix
+from annalist.llm.spans import span_hashes
 
 LENGTH = 100
 
@@ -35,7 +38,26 @@ def some_docs(seed):
     return docs | {5: "a" * 1000, 7: "ab" * 700, 8: docs[3], 10: docs[3], 11: "x" + "a" * 300, 13: None, 14: ""}
 
 
-@pytest.mark.parametrize("hot", [50_000, 0])
+@pytest.mark.parametrize("hot", [50_000, 3, 1, 0])
+def test_passages_of_hot_and_cold_buckets(spark, hot):
+    """Pairs that differ in the last byte share an anchor in a bucket of two; the six variants of one text make a hot one."""
+    rng = random.Random(6)
+
+    def text():
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(LENGTH - 1))
+
+    docs = {}
+    for i in range(30):
+        t = text()
+        docs[2 * i], docs[2 * i + 1] = t + "x", t + "y"
+    t = text()
+    docs |= {100 + i: t + "uvwxyz"[i] for i in range(6)}
+    docs |= {200 + i: docs[i] + text() + docs[100 + i % 6] + docs[i] for i in range(12)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.suffix_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1), hot_segments=hot).collect()}
+    assert got == brute_passages(docs)
+
+
+@pytest.mark.parametrize("hot", [50_000, 3, 0])
 def test_passages_match_brute_force(spark, hot):
     docs = some_docs(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.suffix_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), hot_segments=hot).collect()}
@@ -109,6 +131,45 @@ def test_lines_match_brute_force(spark, batches, fanout):
     assert got == brute_lines(docs)
 
 
+def test_lines_that_a_polynomial_confuses_stay(spark):
+    turn = [bin(i).count("1") % 2 for i in range(4096)]
+    docs = {n: "".join("ab"[b ^ (n % 2)] for b in turn[:size]) for n, size in enumerate((1024, 1024, 2048, 2048, 4096, 4096))}
+    assert [r.n_dropped for r in lines.line_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()] == [0] * 6
+
+
+def test_span_hashes_depend_on_the_bytes_alone():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    lo = rng.integers(0, 2400, 4000)
+    hi = lo + np.concatenate([rng.integers(0, 30, 3000), rng.integers(480, 600, 1000)])
+    a, b = span_hashes(data, lo, hi)
+    (c,) = span_hashes(data, lo, hi, 1)
+    body = [data[x:y].tobytes() for x, y in zip(lo, hi, strict=True)]
+    first: dict = {}
+    for x, h in zip(body, zip(a.tolist(), b.tolist(), strict=True), strict=True):
+        assert first.setdefault(x, h) == h
+    assert len(set(first.values())) == len(first) == len({h for h, _ in first.values()}) == len({h for _, h in first.values()})
+    assert (a == c).all()
+
+
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    runs = lines.LineRuns(spark, 3, fanout=2)
+    frames = [spark.createDataFrame([(i, -i, 10 * t + i % 7) for i in range(40 * t, 40 * t + 60)], "h1 long, h2 long, key long") for t in range(5)]
+    for f in frames[:3]:
+        runs.add(f)
+    assert [level for level, _ in runs.runs] == [1, 0]
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    new = frames[3].repartition(3, "h1", "h2").groupBy("h1", "h2").agg(F.min("key"))
+    plan = new.join(spark.table(runs.runs[0][1]).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "false")
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "SortMergeJoin" in plan
+    for f in frames[3:]:
+        runs.add(f)
+    rows = runs.owners().collect()
+    assert sorted((r.h1, r.key) for r in rows) == [(i, 10 * max(0, -(-(i - 59) // 40)) + i % 7) for i in range(220)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("annalist_run")]
+
+
 def test_lines_of_repeated_and_null_rows(spark):
     d = spark.createDataFrame([(1, "the same long line"), (1, "the same long line"), (None, "the same long line"), (3, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in lines.line_dedup(d).collect()) == [("1", 1, 0), ("1", 1, 1), ("3", 1, 0), ("None", 1, 1)]
