@@ -2,10 +2,60 @@
 
 from __future__ import annotations
 
+import collections
+
 import pytest
 
 from annalist.llm import html
 
+
+
+def test_pages_of_layouts_that_were_not_learned_from():
+    weight, same, lost, extra, every = html.weights(), 0, 0, 0, 0
+    pages = html.labelled_pages(200, seed=1234)
+    for page, text in pages:
+        got = html.main_text(page, weight)
+        want, have = collections.Counter(text.split()), collections.Counter(got.split())
+        same, lost, extra, every = same + (got == text), lost + (want - have).total(), extra + (have - want).total(), every + want.total()
+    assert same >= 0.88 * len(pages) and lost <= 0.01 * every and extra <= 0.01 * every
+
+
+@pytest.mark.parametrize("open_, close", [("<main>", "</main>"), ("<article>", "</article>"), ('<div class="post">', "</div>")])
+@pytest.mark.parametrize(
+    "part, lines",
+    [
+        ("<table><tr><td>one</td><td>two</td></tr><tr><td>three</td><td>four</td></tr></table>", ["one", "two", "three", "four"]),
+        ("<ul>" + "".join(f'<li><a href="/{w}">{w} it</a></li>' for w in ("see", "read", "find", "use", "try")) + "</ul>", ["see it", "read it", "find it", "use it", "try it"]),
+        ("<aside><h3>More of this</h3><ul>" + '<li><a href="/x">another story of the day</a></li>' * 8 + "</ul></aside>", []),
+        ("<blockquote>What someone said</blockquote><pre>x = 1</pre>", ["What someone said", "x = 1"]),
+        ("<dl><dt>Name</dt><dd>What it means</dd></dl><hr><ol><li>First</li><li>Second</li></ol>", ["Name", "What it means", "First", "Second"]),
+        ('<form><label>Your name</label><input><button>Send</button></form><div class="share"><a href="/s">Share this</a></div>', []),
+    ],
+)
+def test_parts_of_an_article(open_, close, part, lines):
+    body = f"{open_}<h1>The title</h1><p>A first line of text that says what it is all about.</p>{part}<p>Ending words of the article, and there are a few of them.</p>{close}"
+    assert text_of(body).split("\n") == ["The title", "A first line of text that says what it is all about.", *lines, "Ending words of the article, and there are a few of them."]
+
+
+@pytest.mark.parametrize("names", ["content search-results", "post related-work", "share-price", "comment-policy", "ad-hoc-notes", "story footer-notes"])
+def test_parts_of_a_name_are_no_veto(names):
+    body = f'<div class="{names}"><h1>The title</h1><p>A first line of text that says what it is all about and a little more of it.</p><p>Then there is a second line with about as many words as the first one.</p></div>'
+    assert text_of(body).split("\n")[1:] == ["A first line of text that says what it is all about and a little more of it.", "Then there is a second line with about as many words as the first one."]
+
+
+def test_weights_come_from_the_pages_that_are_given():
+    pages = [(f'<body><div class="zork"><p>{"kept words here " * 5}</p></div><div class="blah"><p>{"other things there " * 5}</p></div></body>', " ".join(["kept words here"] * 5))] * 5
+    weight = html.fit_weights(pages)
+    assert weight["is zork"] > 0 > weight["is blah"]
+    assert html.main_text('<div class="blah"><p>one two three four five six</p></div><div class="zork"><p>a b c d e f g h i j k l</p></div>', weight) == "a b c d e f g h i j k l"
+
+
+def test_null_empty_long_and_clashing_pages(spark):
+    rows = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (3, "w", "<p>" + "words " * 400_000, 1)], "page_id long, url string, html string, x int").withColumnRenamed("x", "HTML")
+    assert [len(r.text.split()) for r in html.extract(rows).orderBy("page_id").collect()] == [0, 0, 400_000]
+    assert html.extract(rows.limit(0)).collect() == []
+
+
 MENU = '<nav><ul><li><a href="/">Home page of the site</a></li></ul></nav>'
 FOOT = "<footer>All rights are reserved by the owner of this site</footer>"
 
