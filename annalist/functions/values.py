@@ -44,11 +44,13 @@ def canonical_number(x: float) -> str:
         raise ValueTypeError("a number must be finite")
     if x == 0:
         return "0"
-    if x == int(x) and -(2**63) <= x < 2**63:
+    whole = x == int(x)
+    if whole and -(2**63) <= x < 2**63:
         return str(int(x))
     exact = Decimal(repr(x)).normalize()
-    if 1e-6 <= abs(x) < 1e21:
+    if not whole and abs(x) >= 1e-6:
         return format(exact, "f")
+    # Tiny numbers, and whole ones that no 64-bit integer stands for.
     sign, digits, exponent = exact.as_tuple()
     head, rest = str(digits[0]), "".join(map(str, digits[1:]))
     return f"{'-' if sign else ''}{head}{'.' + rest if rest else ''}e{exponent + len(digits) - 1:+d}"
@@ -243,3 +245,18 @@ def order_of_any(x: Column, y: Column) -> Column:
     by = by.when(x["t"].isin(TEXT, TEXT_REF) & y["t"].isin(TEXT, TEXT_REF), F.when(x["s"] < y["s"], -1).when(x["s"] > y["s"], 1).otherwise(0))
     by = by.when((x["t"] == INT) & (y["t"] == FLOAT), int_float_order(x["i"], y["d"])).when((x["t"] == FLOAT) & (y["t"] == INT), -int_float_order(y["i"], x["d"]))
     return by.otherwise(F.raise_error(F.lit("QueryError: values of unlike types have no order")).cast("int"))
+
+
+def number_key(x: Column) -> Column:
+    """A struct that sorts and compares numbers of a struct value by size, exactly, whether integers or floats."""
+    whole = F.floor(x["d"]).cast("bigint")
+    far = (x["t"] == FLOAT) & ((x["d"] >= 2.0**63) | (x["d"] < -(2.0**63)))  # beyond all integers
+    near = F.when(x["t"] == FLOAT, F.when(~far, whole)).otherwise(x["i"])
+    return F.struct(F.when(far, x["d"]).otherwise(0.0).alias("far"), F.coalesce(near, F.lit(0)).alias("whole"), F.when((x["t"] == FLOAT) & ~far, x["d"] - whole.cast("double")).otherwise(0.0).alias("part"))
+
+
+def sort_key(x: Column, shown: Column) -> Column:
+    """A struct that sorts values of mixed kinds: truth values, numbers, text, then the rest by their JSON (``shown``)."""
+    number, text = x["t"].isin(INT, FLOAT), x["t"].isin(TEXT, TEXT_REF)
+    category = F.when(x["t"] == BOOL, 0).when(number, 1).when(text, 2).otherwise(3)
+    return F.struct(category.alias("category"), F.when(number, number_key(x)).when(x["t"] == BOOL, number_key(x)).alias("number"), F.when(text, x["s"]).when(category == 3, shown).alias("text"))

@@ -45,6 +45,7 @@ MOST, LINE, TAG = 4.0, 15, -0.05
 Features = frozenset[str]
 
 
+@lru_cache(256)
 def _kind(tag: str) -> str:
     if tag in ("p", "a", "li", "div"):
         return tag
@@ -98,10 +99,10 @@ class _Stack:
         return last[1]
 
 
-def _closed(page: str) -> tuple[set[int], bool]:
+def _closed(elements: list[tuple]) -> tuple[set[int], bool]:
     """Starts of the elements that their own tag closes, and whether the page has an article or main."""
     stack, closed, proper = _Stack(), set(), False
-    for start, _, closing, tag, attributes in _elements(page):
+    for start, _, closing, tag, attributes in elements:
         if closing:
             if (at := stack.close(tag)) is not None:
                 closed.add(at)
@@ -122,9 +123,15 @@ def _own(tag: str, attributes: str, inside: bool) -> Features:
     return frozenset(out)
 
 
+@lru_cache(1 << 14)
+def _with(known: Features, own: Features, proper: bool) -> Features:
+    return known - {"outside"} | own | {"inside"} if proper else known | own if own - known else known
+
+
 def parse(page: str) -> list[Piece | tuple[str, bool]]:
     """The pieces and tags (kind, whether it breaks the line) of a page, in order."""
-    closed, proper = _closed(page)
+    elements = list(_elements(page))
+    closed, proper = _closed(elements)
     stack = _Stack()
     out: list[Piece | tuple[str, bool]] = []
     known: list[Features] = [frozenset({"outside"} if proper else {"alone"})]  # of all open elements, by depth
@@ -138,10 +145,10 @@ def parse(page: str) -> list[Piece | tuple[str, bool]]:
 
     def push(tag: str, start: int, own: Features) -> None:
         stack.push(tag, start, own)
-        known.append(known[-1] - {"outside"} | own | {"inside"} if tag in ("article", "main") else known[-1] | own)
+        known.append(_with(known[-1], own, tag in ("article", "main")))
         holders.append((holders[-1], start) if tag in HOLDERS else holders[-1])
 
-    for start, end, closing, tag, attributes in _elements(page):
+    for start, end, closing, tag, attributes in elements:
         text(start)
         at = end
         if not tag:

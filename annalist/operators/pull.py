@@ -49,10 +49,19 @@ def json_value(kind: str, x: Column, name: Column | None = None) -> Column:
         return F.concat(F.lit('{"json":'), x, F.lit("}"))
     if kind == "vector":
         return F.concat(F.lit('{"vector":'), F.to_json(x), F.lit("}"))
+    return _but_floats(x, name).when(x["t"] == V.FLOAT, _number_udf()(x["d"]))
+
+
+def _but_floats(x: Column, name: Column | None) -> Column:
     own = F.when(x["t"] == V.REF, json_value("ref", x["i"], name)).when(x["t"] == V.BOOL, (x["i"] == 1).cast("string"))
     for kind, tags in (("int", (V.INT,)), ("text", (V.TEXT, V.TEXT_REF)), ("instant", (V.INSTANT,)), ("bytes", (V.BYTES, V.BYTES_REF)), ("json", (V.JSON,)), ("vector", (V.VECTOR,))):
         own = own.when(x["t"].isin(*tags), json_value(kind, x[V.FIELD[kind]]))
-    return own.when(x["t"] == V.FLOAT, _number_udf()(x["d"]))
+    return own
+
+
+def sort_text(kind: str, x: Column, name: Column | None = None) -> Column:
+    """The JSON that values without an order of their own sort by; of mixed values all but the floats."""
+    return _but_floats(x, name) if kind == "any" else json_value(kind, x, name)
 
 
 def documents(source: Source, entities: DataFrame, pattern: list[Any], history: bool = False, depth: int = 1) -> DataFrame:

@@ -24,10 +24,10 @@ def run(source: Source, query: dict[str, Any], args: dict[str, Any] | None = Non
     b = once(c.body(q.where, _inputs(c, q, args or {})))
     grouped = any(f.kind in ast.AGGREGATES for f in q.find)
     df, kinds, order = (_aggregate(b, q) if grouped else _project(b, q))
+    df, order = _sorted_by(source, df, kinds, order)
     for f in q.find:
         if kinds[f.column] == "ref" and f.kind != "pull":
             df = source.named(df, f.column, "__name").withColumn(f.column, F.coalesce("__name", F.col(f.column).cast("string"))).drop("__name")
-            order = [(_ref_order(F.col(f.column)) if isinstance(key, str) and key == f.column else key, up) for key, up in order]
     shown = [f.column for f in q.find]
     for f in q.find:
         if f.kind == "pull":
@@ -35,14 +35,12 @@ def run(source: Source, query: dict[str, Any], args: dict[str, Any] | None = Non
 
             df = pulled(source, df, f.column, f.pattern)
     extra = [c for c in df.columns if c.startswith("o_")]
-    if not extra and not grouped:
-        df = df.distinct() if not b.distinct or {f.variable for f in q.find} != set(b.kinds) else df
-    elif extra:
+    if not grouped and (not b.distinct or {f.variable for f in q.find} != set(b.kinds)):
         # Rows that look alike are one; the first in order stands for them.
-        df = df.groupBy(*shown).agg(*(F.min(x).alias(x) for x in extra))
+        df = df.groupBy(*shown).agg(*(F.min(x).alias(x) for x in extra)) if extra else df.distinct()
     df = _collapsed(df, [f.column for f in q.find if kinds[f.column] == "any" and f.kind != "pull"], shown, extra)
     if order:
-        df = df.orderBy(*((F.col(k) if isinstance(k, str) else k).asc() if up else (F.col(k) if isinstance(k, str) else k).desc() for k, up in order))
+        df = df.orderBy(*(F.col(k).asc() if up else F.col(k).desc() for k, up in order))
     if q.offset:
         df = df.offset(q.offset)
     if q.limit is not None:
@@ -65,9 +63,24 @@ def _collapsed(df: DataFrame, mixed: list[str], shown: list[str], extra: list[st
     return keyed.groupBy(*rest, *(f"k_{c}" for c in mixed)).agg(*(F.min(c).alias(c) for c in [*mixed, *extra])).select(*shown, *extra)
 
 
-def _ref_order(text: Column) -> Column:
-    """References sort by their JSON: named ones by name, then bare ids."""
-    return F.when(text.rlike("^[0-9]+$"), text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+def _sorted_by(source: Source, df: DataFrame, kinds: dict[str, str], order: list[tuple[str, bool]]) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """``df`` with a column ``o_..`` for every key whose values do not sort as they are: what has no order of its own sorts by its JSON."""
+    from annalist.operators.pull import sort_text
+
+    keys: dict[str, str] = {}
+    for column, _ in order:
+        kind = kinds[column]
+        if column in keys or kind in ("int", "float", "text", "bool", "instant"):
+            continue
+        x, out = F.col(column), f"o_key{len(keys)}"
+        if kind in ("ref", "any"):
+            df = source.named(df.withColumn("__to", x if kind == "ref" else F.when(x["t"] == V.REF, x["i"])), "__to", "__name")
+            shown = sort_text(kind, x, F.col("__name"))
+        else:
+            shown = sort_text(kind, x)
+        df = df.withColumn(out, V.sort_key(x, shown) if kind == "any" else shown).drop("__to", "__name")
+        keys[column] = out
+    return df.drop(*(c for c in keys if c.startswith("o_"))), [(keys.get(column, column), up) for column, up in order]
 
 
 def _inputs(c: Compiler, q: ast.Query, args: dict[str, Any]) -> Bindings | None:
@@ -102,6 +115,7 @@ def _project(b: Bindings, q: ast.Query) -> tuple[DataFrame, dict[str, str], list
             order.append((labels[key].column, up))
         elif key in b.kinds:
             columns.append(b.col(key).alias(f"o_{key[1:]}"))
+            kinds[f"o_{key[1:]}"] = b.kinds[key]
             order.append((f"o_{key[1:]}", up))
     return b.df.select(*columns), kinds, order
 
@@ -129,20 +143,30 @@ def _one(f: ast.Find, b: Bindings) -> tuple[Column, str]:
         Compiler.reject(b, f"{f.kind} needs numbers")
         return F.max(F.lit(None).cast("bigint")), "int"
     if kind == "any":
-        number = F.when(x["t"] == V.INT, x["i"].cast("double")).when(x["t"] == V.FLOAT, x["d"]).otherwise(F.raise_error(F.lit(f"QueryError: {f.kind} needs numbers")).cast("double"))
-        if f.kind in ("min", "max"):
-            return (F.min_by if f.kind == "min" else F.max_by)(number, number), "float"
-        return _finite((F.sum if f.kind == "sum" else F.avg)(number)), "float"
+        whole, real = x["t"] == V.INT, x["t"] == V.FLOAT
+        x = F.when(whole | real, x).otherwise(F.raise_error(F.lit(f"QueryError: {f.kind} needs numbers")).cast(V.STRUCT))
+        if f.kind in ("min", "max"):  # the value itself, of its own type; of an integer and a float alike the integer
+            key = F.struct(V.number_key(x).alias("n"), (x["t"] if f.kind == "min" else -x["t"]).alias("t"))
+            return (F.min_by if f.kind == "min" else F.max_by)(x, key), "any"
+        total = _finite(F.sum(F.when(real, x["d"]).otherwise(x["i"].cast("double"))))
+        if f.kind == "avg":
+            return total / F.count(x), "float"
+        exact, n, reals = F.sum(x["i"].cast("decimal(20,0)")), F.count(x), F.count_if(real)
+        return F.when(n == 0, F.lit(None).cast(V.STRUCT)).when(reals > 0, V.to_struct("float", total)).otherwise(V.to_struct("int", _in_64_bits(exact))), "any"
     if f.kind in ("min", "max"):
         return (F.min if f.kind == "min" else F.max)(x), kind
     if kind == "int":
         total = F.sum(x.cast("decimal(20,0)"))
         if f.kind == "avg":
             return total.cast("double") / F.count(x), "float"
-        over = (total > F.lit(_MAX).cast("decimal(38,0)")) | (total < F.lit(_MIN).cast("decimal(38,0)"))
-        return F.when(over, F.raise_error(F.lit("QueryError: the sum leaves 64 bits")).cast("bigint")).otherwise(total.cast("bigint")), "int"
+        return _in_64_bits(total), "int"
     return _finite(F.sum(x) if f.kind == "sum" else F.sum(x) / F.count(x)), "float"
 
 
+def _in_64_bits(total: Column) -> Column:
+    over = (total > F.lit(_MAX).cast("decimal(38,0)")) | (total < F.lit(_MIN).cast("decimal(38,0)"))
+    return F.when(over, F.raise_error(F.lit("QueryError: the sum leaves 64 bits")).cast("bigint")).otherwise(total.cast("bigint"))
+
+
 def _finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("QueryError: the result is not finite")).cast("double")).otherwise(x)
