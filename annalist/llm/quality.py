@@ -81,9 +81,16 @@ def measured(docs: DataFrame) -> DataFrame:
     base = C.pick(docs, "doc_id", "text", "source").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *(c.alias(k) for k, c in measures(F.col("text")).items()))
     out = out.select("doc_id", "source", F.col("counted.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("counted.n_repeat_words").alias("n_repeat_words"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    soft = (10 * F.col("n_symbols") > F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("rule_failed", failed | soft)
+    return _judged_alone(out)
+
+
+def _judged_alone(rows: DataFrame, prefix: str | None = None) -> DataFrame:
+    """``rows`` with base_failed and rule_failed, by the measures as columns or, with a prefix, as ``measures`` names them."""
+    n_words, n_repeat = ("n_words", "n_repeat_words") if prefix is None else (f"{prefix}counted.n_words", f"{prefix}counted.n_repeat_words")
+    n, symbols, chars = F.col(n_words), F.col(f"{prefix or ''}n_symbols"), F.col(f"{prefix or ''}word_chars")
+    failed = (n < 20) | (100 * F.col(n_repeat) > 30 * n)
+    soft = (10 * symbols > n) | (chars > 12 * n) | (chars < 2 * n)
+    return rows.withColumn("base_failed", failed).withColumn("rule_failed", failed | soft)
 
 
 def host_verdicts(rules: DataFrame, most: float = 0.5) -> DataFrame:
@@ -127,11 +134,14 @@ def quality(docs: DataFrame, most: float = 0.5) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
-    rules, _ = C.stored(measured(docs), "rules")
-    hosts, _ = C.stored(host_verdicts(rules, most), "hosts")
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns.
+
+    Each text is measured once: rows are written with their verdict, and the
+    hosts' verdicts join them from there.
+    """
     columns = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    m = measures(text)["counted"]
-    rows = docs.withColumn("__counted", m).where("NOT (__counted.n_words < 20 OR 100 * __counted.n_repeat_words > 30 * __counted.n_words)").drop("__counted")
-    return judged(rows, hosts).where(~F.coalesce("bad", F.lit(False))).select(*columns)
+    m = measures(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = _judged_alone(docs.select(*columns, *(c.alias(f"__{k}") for k, c in m.items())), "__").select(*columns, "base_failed", "rule_failed")
+    rows, _ = C.stored(rows.withColumn("source", F.col("source").cast("string")), "rules")
+    hosts, _ = C.stored(host_verdicts(rows, most), "hosts")
+    return judged(rows.where("NOT base_failed"), hosts).where(~F.coalesce("bad", F.lit(False))).select(*columns)
