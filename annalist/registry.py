@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import values as V
@@ -104,9 +104,14 @@ ask("order_by_aggregate", "SELECT n_name AS n, count(*) AS count_s FROM supplier
 _MIXED = {"or": [[["?p", "part/size", "?v"]], [["?p", "part/retailprice", "?v"]]]}
 _ANY = {"or": [[["?p", "part/size", "?v"]], [["?p", "part/retailprice", "?v"]], [["?p", "part/name", "?v"]], [["?p", "part/next", "?v"]]]}
 _MIXED_SQL = "WITH m AS (SELECT p_partkey AS k, p_brand AS b, p_size::DOUBLE AS v, 2 AS t FROM part UNION ALL SELECT p_partkey, p_brand, p_retailprice, 3 FROM part) "
-_NUMBER = F.coalesce(F.col("v.d"), F.col("v.i").cast("double"))
+
+
+def _number() -> Column:
+    return F.coalesce(F.col("v.d"), F.col("v.i").cast("double"))
+
+
 ask("order_mixed", _MIXED_SQL + "SELECT 'part:' || k AS p, v, t FROM (SELECT *, row_number() OVER (ORDER BY v, 'part:' || k) AS n FROM m) WHERE n > 20 AND n <= 2100",
-    ["?p", "?v"], [_MIXED], order=[["?v", "asc"], ["?p", "asc"]], limit=2080, offset=20, then=lambda df: df.select("p", _NUMBER.alias("v"), F.col("v.t").cast("int").alias("t")))
+    ["?p", "?v"], [_MIXED], order=[["?v", "asc"], ["?p", "asc"]], limit=2080, offset=20, then=lambda df: df.select("p", _number().alias("v"), F.col("v.t").cast("int").alias("t")))
 ask("order_mixed_kinds", "WITH m AS (SELECT p_partkey AS k, 1 AS c, p_size::DOUBLE AS v, '' AS s FROM part UNION ALL SELECT p_partkey, 1, p_retailprice, '' FROM part UNION ALL SELECT p_partkey, 2, 0, p_name FROM part UNION ALL SELECT p_partkey, 3, 0, 'part:' || (p_partkey - p_partkey % 8 + (p_partkey + 1) % 8) FROM part WHERE p_partkey - p_partkey % 8 + (p_partkey + 1) % 8 IN (SELECT p_partkey FROM part)), r AS (SELECT *, row_number() OVER (ORDER BY c DESC, v DESC, s DESC, 'part:' || k DESC) AS n FROM m) SELECT 'part:' || k AS p, n, c FROM r",
     ["?p", "?v"], [_ANY], order=[["?v", "desc"], ["?p", "desc"]],
     then=lambda df: df.select("p", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("n"), F.when(F.col("v.t").isin(V.INT, V.FLOAT), 1).when(F.col("v.t") == V.REF, 3).otherwise(2).alias("c")))

@@ -1,9 +1,12 @@
 """A versioned store of facts in Parquet.
 
-Every commit is a folder of log rows, written aside and renamed into place; the
-rename fails if another writer was first, so a version is whole or absent.
+Every commit is a folder of log rows, written aside, claimed and renamed into
+place.  The claim is a file named by the version's number that only one writer
+can make; it names the folder, so whoever lists the versions next can finish a
+rename that its writer did not.  A version is whole or absent.
 Readers list the versions once and stay with them.  ``compact`` folds all
-versions into one; excision does the same without the rows it removes.
+versions into one and leaves the old files to readers until the next time;
+excision does the same without the rows it removes, and deletes them at once.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import uuid
 from dataclasses import replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +107,48 @@ class Db:
         self._memo, self._mirror = {}, None
         found = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
         found = [v for v in found if v[0] in "0123456789"]
+        if fs.exists(self._path("claims")):
+            last = found[-1][:12] if found else ""
+            for name in sorted(c.getPath().getName() for c in fs.listStatus(self._path("claims"))):
+                if name.isdigit() and name > last and (made := self._finish(name)):
+                    found.append(made)
         bases = [v for v in found if v.endswith("-base")]
         self._versions = [v for v in found if not bases or v >= bases[-1]]
         return self._versions
 
+    def _claim(self, number: str, aside: str) -> bool:
+        """Make the claim of a version, which names its folder; False if there is one."""
+        fs, mine, to = self._fs(), self._path("claims", f"_{aside}"), self._path("claims", number)
+        fs.mkdirs(self._path("claims"))
+        out = fs.create(mine, True)
+        out.write(bytearray(aside.encode()))
+        out.close()
+        try:
+            if fs.getUri().getScheme() == "file":  # a rename would overwrite here; a hard link does not
+                jvm = self.spark._jvm
+                link = [jvm.java.nio.file.Path.of(jvm.java.net.URI.create("file://" + fs.makeQualified(p).toUri().getRawPath())) for p in (to, mine)]
+                try:
+                    jvm.java.nio.file.Files.createLink(*link)
+                except Py4JJavaError:
+                    return False
+                return True
+            return bool(fs.rename(mine, to))
+        finally:
+            fs.delete(mine, False)
+
+    def _finish(self, number: str) -> str | None:
+        """Rename a claimed version into place, if that is still to be done; its name."""
+        fs = self._fs()
+        stream = fs.open(self._path("claims", number))
+        try:
+            aside = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        name = number + ("-base" if aside.endswith("-base") else "")
+        if not fs.exists(self._path("versions", name)):
+            fs.rename(self._path("versions", aside), self._path("versions", name))
+        return name if fs.exists(self._path("versions", name)) else None
+
     def _commit(self, rows: list[dict], base: DataFrame | None = None) -> None:
         if self._overlay is not None:
             mirror = self.mirror()
@@ -116,18 +158,18 @@ class Db:
                 mirror.add(rows)
             return
         number = f"{int((self._versions or ['-1'])[-1][:12]) + 1:012d}"
-        aside = f"versions/_aside-{uuid.uuid4().hex}"
+        aside = f"_aside-{uuid.uuid4().hex}{'-base' if base is not None else ''}"
         df = base if base is not None else self.spark.createDataFrame([tuple(r.get(f) for f in _LOG_FIELDS) for r in rows], LOG).coalesce(1)
-        df.write.parquet(f"{self.path}/{aside}")
+        df.write.parquet(f"{self.path}/versions/{aside}")
         fs = self._fs()
-        # Two writers aim at one name, so only the first rename can succeed.
         taken = any(fs.exists(self._path("versions", number + end)) for end in ("", "-base"))
-        if taken or not fs.rename(self._path(aside), self._path("versions", number + ("-base" if base is not None else ""))):
-            fs.delete(self._path(aside), True)
+        if taken or not self._claim(number, aside):
+            fs.delete(self._path("versions", aside), True)
             raise Conflict("another writer was first")
+        self._finish(number)
         mirror = self._mirror if base is None else None
         self._list()
-        if mirror is not None and mirror.rows <= MIRROR_ROWS:
+        if mirror and mirror.rows <= MIRROR_ROWS:
             mirror.add(rows)
             self._mirror = mirror
 
@@ -323,7 +365,7 @@ class Db:
 
     # ------------------------------------------------------------ writes
 
-    def transact(self, data: Any, source: str | None = None, by: str | None = None, meta: Any = None, tx: dict | None = None, operation_id: str | None = None, if_basis_tx: int | None = None, _request: Any = None, _extra: list | None = None, _event: str | None = None, _change: Any = None) -> dict:
+    def transact(self, data: Any, source: str | None = None, by: str | None = None, meta: Any = None, tx: dict | None = None, operation_id: str | None = None, if_basis_tx: int | None = None, _request: Any = None, _extra: list | None = None, _event: str | None = None, _change: Any = None, _body: dict | None = None) -> dict:
         """Apply records and operations as one transaction, and report it."""
         self._writable()
         options = {k: v for k, v in (("by", by), ("meta", meta), ("source", source), ("tx", tx)) if v is not None}
@@ -385,7 +427,11 @@ class Db:
                 "asserted": [self._tuple(f, names) for f in plan.asserted], "retracted": [self._tuple(f, names) for f in plan.retracted], **{k: v for k, v in options.items() if k != "tx"}}
         if tx:
             body["tx_facts"] = tx
+        body |= _body or {}
         text = V.canonical_json(body)
+        # What the event is about, as rows, so that an excision can find it by what it says and not by how that is written.
+        about = {x for f in [*facts, *plan.retracted] for x in (f.e, f.a, f.value if f.kind == "ref" else f.e)} | set(names)
+        rows += [{"kind": "mention", "e": e, "tx": new_tx, "event": event} for e in sorted(about - {new_tx}) if e > RESERVED]
         rows.append({"kind": "event", "tx": new_tx, "event": event, "hash": digest(text), "data": text, "operation": operation_id, "request": request if operation_id is not None else None})
         self._commit(rows)
         return self._report("applied", event, new_tx, {t: self._shown(moved.get(e, e)) for t, e in plan.tempids.items()}, plan.asserted, plan.retracted, at)
@@ -488,18 +534,25 @@ class Db:
         e = Planner(self).entity(ref)
         if e <= RESERVED or self.is_transaction(e):
             raise Unsupported("system and transaction entities stay")
-        shown = V.canonical_json(self._shown(e))
-        touched = [r["event"] for r in self.events().where(F.col("data").isNotNull()).where(F.col("data").contains(shown)).select("event").collect()]
-        report = self.transact([], operation_id=operation_id, if_basis_tx=if_basis_tx, _request={"operation": "excise", "ref": ref}, _extra=[(SYS["sys/excised"], "ref", e)])
+        facts, log = self.facts(), self.log()
+        gone = facts.join(without_entity(facts, e).select("id"), "id", "left_anti")
+        told = log.where((F.col("kind") == "mention") & (F.col("e") == e)).select("tx").unionByName(gone.select("tx")).unionByName(gone.where("rx IS NOT NULL").select(F.col("rx").alias("tx")))
+        touched = sorted(r["event"] for r in self.events().where("data IS NOT NULL").join(told.distinct(), "tx", "left_semi").select("event").collect())
+        already = log.where("kind = 'event' AND operation IS NOT NULL").where(F.col("operation") == operation_id).isEmpty() if operation_id is not None else True
+        if already and not self.live().where((F.col("a") == SYS["sys/excised"]) & (F.col("i") == e)).isEmpty():
+            raise Conflict("the entity was excised before")
+        report = self.transact([], operation_id=operation_id, if_basis_tx=if_basis_tx, _request={"operation": "excise", "ref": ref}, _extra=[(SYS["sys/excised"], "ref", e)], _body={"redacted": True, "redacts": touched})
         if report["status"] != "applied":
             return report
         marker = (F.col("a") == SYS["sys/excised"]) & (F.col("e") == F.col("tx"))
         log = self.log()
         doomed = self.facts().select("id").join(without_entity(self.facts().where(~marker), e).unionByName(self.facts().where(marker)).select("id"), "id", "left_anti")
         rest = log.where("kind NOT IN ('fact', 'end', 'drop')").unionByName(log.where("kind IN ('fact', 'end', 'drop')").join(doomed, "id", "left_anti").select(*log.columns))
-        rest = rest.withColumn("data", F.when(F.col("event").isin(touched), None).otherwise(F.col("data")))
-        self._rebase(rest)
-        return report | {"redacts": sorted(touched)}
+        redacts = self.spark.createDataFrame([(x,) for x in touched], "event string").withColumn("__gone", F.lit(True))
+        rest = rest.where(~((F.col("kind") == "mention") & (F.col("e") == e))).join(redacts, "event", "left")
+        rest = rest.withColumn("data", F.when(F.col("__gone").isNull(), F.col("data"))).select(*log.columns)
+        self._rebase(rest, at_once=True)
+        return report | {"redacts": touched}
 
     def compact(self) -> None:
         """Fold all versions into one; earlier versions are deleted."""
@@ -513,11 +566,13 @@ class Db:
                 rows = rows.withColumn(n, F.lit(None).cast(t))
         self._rebase(rest.unionByName(rows.select(*rest.columns)))
 
-    def _rebase(self, rows: DataFrame) -> None:
-        old = list(self._versions or [])
+    def _rebase(self, rows: DataFrame, at_once: bool = False) -> None:
+        """Replace all versions; readers of the present ones keep them until the next time, unless they must go ``at_once``."""
+        kept = set() if at_once else set(self._versions or [])
         self._commit([], base=rows)
-        for v in old:
-            self._fs().delete(self._path("versions", v), True)
+        for v in [s.getPath().getName() for s in self._fs().listStatus(self._path("versions"))]:
+            if v[0] in "0123456789" and v not in kept and v not in self._versions:
+                self._fs().delete(self._path("versions", v), True)
         self._list()
 
     def speculate(self) -> Db:
