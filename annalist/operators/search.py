@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annalist.errors import QueryError, ValueTypeError
 from annalist.functions.text import bm25
 from annalist.functions.values import canonical_json
+from annalist.sources.keywords import KeywordIndex
 from annalist.storage import stored
 
 #: The constant of reciprocal rank fusion and the bounds of results.
@@ -43,9 +44,14 @@ def vector_candidates(rows: DataFrame, query: list[float], k: int) -> DataFrame:
     return best.orderBy(F.desc("score"), "fact").limit(candidate_cap(k))
 
 
-def keyword_candidates(rows: DataFrame, text: str, k: int, corpus: DataFrame | None = None) -> DataFrame:
-    """fact, e, rank of the best fact per entity among (fact, e, text); statistics are those of ``corpus`` (fact, text)."""
-    ranked = bm25(corpus if corpus is not None else rows.select("fact", "text"), text).join(rows.select("fact", "e"), "fact")
+def keyword_candidates(rows: DataFrame, text: str, k: int, corpus: DataFrame | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """fact, e, rank of the best fact per entity among (fact, e, text).
+
+    Statistics are those of ``corpus`` (fact, text), or of a keyword index of it,
+    which is read in place of the texts.
+    """
+    corpus = corpus if corpus is not None else rows.select("fact", "text")
+    ranked = (bm25(corpus, text) if index is None else index.bm25(text, corpus)).join(rows.select("fact", "e"), "fact")
     best = ranked.groupBy("e").agg(F.min(F.struct("rank", "fact")).alias("x")).select("e", "x.fact", "x.rank")
     return best.orderBy("rank", "fact").limit(candidate_cap(k))
 

@@ -1,5 +1,8 @@
 """Datalog to one DataFrame.
 
+Patterns that read several attributes of one entity from one table become one
+scan, not a join of scans.
+
 Every variable is a column of its own, plain where its kind is known from the
 attribute (the usual case), so patterns become equi-joins that Catalyst orders
 and picks strategies for.  Duplicates are dropped once, at the end of a body, and

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -14,7 +15,9 @@ from annalist.operators import datoms as index
 from annalist.operators import schema, search, temporal
 from annalist.operators.pull import documents
 from annalist.plans.query import run
+from annalist.sources.keywords import KeywordIndex
 from annalist.sources.tables import ATTRIBUTES, ORDER, SPAN, TURNS, TableSource
+from annalist.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -319,8 +322,24 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("e").alias("fact"), "e", F.col("v").alias("text"))
 
 
+_indexes: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The keyword index of ``documents``, built at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = KeywordIndex.build(_texts(spark, sf_dir).select("fact", "text"), f"{shared_dir(spark)}/annalist-keywords-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 @register(_BM25 + "SELECT doc_id, round(rank, 8) AS rank FROM r")
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_index(spark, sf_dir).bm25("the ered").select((F.col("fact") % SPAN).alias("doc_id"), F.round("rank", 8).alias("rank"))
+
+
+@register(_BM25 + "SELECT doc_id, round(rank, 8) AS rank FROM r")
+def bm25_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25(_texts(spark, sf_dir).select("fact", "text"), "the ered").select((F.col("fact") % SPAN).alias("doc_id"), F.round("rank", 8).alias("rank"))
 
 
@@ -334,7 +353,7 @@ def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     u AS (SELECT 'x:' || id AS name, sum(1.0 / (60 + p)) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY 1)
     SELECT name, round(score, 9) AS score FROM u ORDER BY u.score DESC, name LIMIT 10""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = search.placed(search.keyword_candidates(_texts(spark, sf_dir), "the ered", 10), F.col("rank"), F.col("fact"))
+    words = search.placed(search.keyword_candidates(_texts(spark, sf_dir), "the ered", 10, index=keyword_index(spark, sf_dir)), F.col("rank"), F.col("fact"))
     vectors = search.placed(search.vector_candidates(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10), F.desc("score"), F.col("fact"))
     same = [x.select((F.col("e") % SPAN).alias("e"), F.concat(F.lit("x:"), F.col("e") % SPAN).alias("name"), "place") for x in (words, vectors)]
     return search.fused(same, 10).select("name", F.round("score", 9).alias("score"))

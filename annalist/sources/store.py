@@ -32,6 +32,7 @@ from annalist.operators import search, temporal
 from annalist.operators.pull import documents, entity
 from annalist.plans import ast
 from annalist.plans.query import run
+from annalist.sources.keywords import KeywordIndex
 from annalist.sources.transact import _FIELDS, FIRST_TX, RESERVED, SYS, SYSTEM, Declared, Fact, Planner, check_attribute, check_name, without_entity
 
 LOG = "kind string, id bigint, e bigint, a bigint, t tinyint, i bigint, d double, s string, b binary, f array<float>, tx bigint, rx bigint, name string, event string, hash string, data string, operation string, request string"
@@ -682,6 +683,21 @@ class Db:
         return {"read_basis_tx": self.basis_tx(), "basis_tx": out["basis_tx"], "tx": tx, "event": r["event"], "event_hash": f"sha256:{r['hash']}", "operation_id": r["operation"], "request_hash": r["request"], "at": out["at"],
                 **{known[f.a]: V.render(f.kind, f.value) for f in own if f.a in known}, "tx_facts": {self._shown(f.a): V.render(f.kind, f.value, self._shown(f.value) if f.kind == "ref" else None) for f in own if f.a > RESERVED}}
 
+    def _postings(self) -> str:
+        return f"{self.path}/postings/{(self._versions or [''])[-1]}"
+
+    def index_texts(self) -> None:
+        """Write a keyword index of the live texts of the present version, which searches use until the next commit."""
+        self._writable()
+        live = self.live().where(F.col("t").isin(V.TEXT, V.TEXT_REF))
+        KeywordIndex.build(live.select(F.col("id").alias("fact"), F.col("s").alias("text")), self._postings(), buckets=4)
+        self._memo.pop(("index",), None)
+
+    def _index(self) -> KeywordIndex | None:
+        if self._overlay is not None:
+            return None
+        return self._once(("index",), lambda: KeywordIndex(self.spark, self._postings()) if self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._postings(), "totals/_SUCCESS")) else None)
+
     def search(self, text: str | None = None, vector: list[float] | None = None, k: int = 10, expand: int = 0, filters: list | None = None, vector_attribute: str | None = None, text_attributes: list[str] | None = None) -> dict:
         """Hits by keyword and vector, fused; with what references reach from them."""
         search.check(text, vector, vector_attribute, text_attributes, filters)
@@ -702,7 +718,7 @@ class Db:
             if text_attributes:
                 own = own.where(F.col("a").isin([self.id_of(a) or -1 for a in text_attributes]))
             own = own if allowed is None else own.join(allowed, "e", "left_semi")
-            lists.append(search.placed(search.keyword_candidates(own, text, k, words.select("fact", "text")), F.col("rank"), F.col("fact")))
+            lists.append(search.placed(search.keyword_candidates(own, text, k, words.select("fact", "text"), self._index()), F.col("rank"), F.col("fact")))
         if vector is not None:
             a = self.id_of(vector_attribute)
             d = Planner(self).declared(a) if a is not None else Declared()

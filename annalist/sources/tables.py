@@ -156,6 +156,25 @@ class TableSource:
         closed = rows.where(F.col("rx") <= last).select("e", "v", F.col("rx").alias("tx"), F.lit(False).alias("added"))
         return Scan(opened.unionByName(closed) if moving else opened, kind, not moving)
 
+    def fused(self, names: list[str], entity: int | None = None) -> tuple[DataFrame, list[str]] | None:
+        """e, v0, v1, .. and the kinds of attributes of one table, read in one scan; None if they do not lie side by side.
+
+        A row has all of them or is left out, as in the join of their scans.
+        """
+        own = [ATTRIBUTES.get(n) for n in names]
+        if any(x is None or n.startswith("user/") or n.endswith("/next") for n, x in zip(names, own, strict=True)) or len({x.table for x in own}) != 1:
+            return None
+        table = own[0].table
+        rows = self._placed(self.table(table)) if table == "lineitem" else self.table(table)
+        if entity is not None and table in _KEYS:
+            rows = rows.where(F.col(_KEYS[table]) == entity - ORDER.index("documents" if table == "labels" else table) * SPAN)
+        out = rows.select(self._entity(table).alias("e"), *(self._value(n, x).alias(f"v{i}") for i, (n, x) in enumerate(zip(names, own, strict=True))))
+        for i in range(len(names)):
+            out = out.where(F.col(f"v{i}").isNotNull())
+        if self.basis is not None and self.basis < 1:
+            out = out.where(F.lit(False))
+        return out, [x.kind for x in own]
+
     def scan_all(self, history: bool = False) -> Scan:
         out = None
         for name, x in ATTRIBUTES.items():
