@@ -8,10 +8,13 @@
    ``bands_for`` finds the counts for another threshold or recall.
    Rows are shuffled on band hashes; a band's members form a star around its
    smallest one, and the stars' components are the candidate groups.
-4. Whole shingle sets are sent to the candidate groups.  A group of more than
-   ``block`` texts is dealt into blocks and each pair of blocks is a task's unit,
-   so no task sees an unbounded group.  Shared shingles of all pairs in a unit are
-   counted by multiplying incidence matrices, and compared exactly.
+4. Whole shingle sets are sent to where they are compared: to their group, or,
+   where a group is large and mostly chained by chance, to each of its members'
+   band buckets, whichever sends less; in a bucket a pair counts if no earlier
+   band holds it.  A group or bucket of more than ``block`` texts is dealt into
+   blocks and each pair of blocks is a task's unit, so no task sees an unbounded
+   group.  Shared shingles of all pairs in a unit are counted by multiplying
+   incidence matrices, and compared exactly.
    What leaves a unit is a link count per text and a spanning forest, never the
    pairs.
 5. Linked texts form classes; a class is named by its smallest doc_id.
@@ -144,7 +147,8 @@ def _shared(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     df = np.bincount(feature)
     keep = df[feature] > 1
     owner, feature = owner[keep], feature[keep]
-    out = np.zeros((n, n), np.float32)
+    kind = np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64  # exact up to here
+    out = np.zeros((n, n), kind)
     if not len(owner):
         return out
     feature = np.cumsum(np.append(True, feature[1:] != feature[:-1])) - 1
@@ -152,7 +156,7 @@ def _shared(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     cuts = np.searchsorted(feature, np.arange(0, int(feature[-1]) + 1 + width, width))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if b > a:
-            m = np.zeros((n, min(width, int(feature[-1]) + 1 - k * width)), np.float32)
+            m = np.zeros((n, min(width, int(feature[-1]) + 1 - k * width)), kind)
             m[owner[a:b], feature[a:b] - k * width] = 1
             out += m @ m.T
     return out
@@ -173,6 +177,30 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
+def candidate_units(sets: DataFrame, block: int) -> DataFrame:
+    """rep, unit, blocks and band: where each set that has candidates is compared with them.
+
+    A unit is a group of sets that bands link (band -1), or the bucket of a band
+    where the buckets of a large group take fewer copies of its sets than pairs
+    of the group's blocks would.
+    """
+    dealt = sets.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("bucket"))
+    stars = dealt.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    members, _ = C.stored(dealt.join(stars, "bucket"), "members")
+    edges = members.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
+    groups, _ = C.stored(components(edges), "groups")
+    size = groups.groupBy("root").agg(F.count("*").alias("size"))
+    large = size.where(F.col("size") > block)
+    own = groups.join(size, "root").select(F.col("node").alias("rep"), F.col("root").alias("unit"), F.ceil(F.col("size") / block).alias("blocks"), F.lit(-1).cast("long").alias("band"))
+    if large.isEmpty():
+        return own
+    copies = members.select("rep", F.ceil(F.col("members") / block).alias("n")).groupBy("rep").agg(F.sum("n").alias("n"))
+    cost = copies.join(groups.join(large, "root"), copies["rep"] == groups["node"]).groupBy("root", "size").agg(F.sum("n").alias("n"))
+    apart, _ = C.stored(cost.where(F.col("n") < F.col("size") * F.ceil(F.col("size") / block)).select("root").join(groups, "root").select(F.col("node").alias("rep")), "apart")
+    buckets = members.join(apart, "rep", "left_semi").select("rep", F.col("bucket").alias("unit"), F.ceil(F.col("members") / block).alias("blocks"), F.col("band").cast("long").alias("band"))
+    return own.join(apart, "rep", "left_anti").unionByName(buckets)
+
+
 def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.995, block: int = 1024) -> DataFrame:
     """key, class_key, n_copies and n_links of every row of ``keyed`` documents; see ``jaccard_join``."""
     spark, n = base.sparkSession, C.parts_for(base)
@@ -182,27 +210,22 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
     sets = table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("key", "bands")).alias("low"), F.count("*").alias("n_copies"))
     sets, _ = C.stored(sets.select("s1", "s2", "n", F.col("low.key").alias("rep"), F.col("low.bands").alias("bands"), "n_copies"), "sets")
 
-    dealt = sets.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))
-    stars = dealt.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    edges = dealt.join(stars, "bucket").where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
-    groups, _ = C.stored(components(edges), "groups")
-    sized = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sized, "root").select("node", "root", "size")
+    units = candidate_units(sets, block)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, root, size = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            yield C.packed(C.dest_of(node, n), [node, root, -(-size // block)], MEMBER)
+            node, unit, blocks, band = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            yield C.packed(C.dest_of(node, n), [node, unit, blocks, band], MEMBER)
 
     def send(by: dict) -> Iterator[pa.RecordBatch]:
-        key, root, blocks = (C.column(by.get(MEMBER, []), i, np.int64) for i in range(3))
-        order = np.argsort(key)
-        key, root, blocks = key[order], root[order], blocks[order]
+        told_ = by.pop(MEMBER, [])
+        key, unit_of, blocks, band_of = (C.column(told_, i, np.int64) for i in range(4))
+        order = np.argsort(key, kind="stable")
+        key, unit_of, blocks, band_of = key[order], unit_of[order], blocks[order], band_of[order]
         for row in by.get(C.TEXT, []):
             keys, offsets, body = C.opened(row)
-            at = np.searchsorted(key, keys)
-            own = np.flatnonzero(at < len(key)) if len(key) else np.zeros(0, np.int64)
-            own = own[key[at[own]] == keys[own]]
+            first, last = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
+            own = np.flatnonzero(last > first)
             if not len(own):
                 continue
             whole = np.frombuffer(body, np.uint8)
@@ -210,27 +233,43 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
             data = C.ragged(whole, offsets[own], offsets[own + 1] - offsets[own])
             for i, j in _slices(keys[own], cut):
                 found, size = shingles(data[cut[i] : cut[j]], cut[i : j + 1] - cut[i], width)
-                k, r, b = keys[own[i:j]], root[at[own[i:j]]], blocks[at[own[i:j]]]
-                mine = (C.mix64(k.view(np.uint64)) % b.view(np.uint64)).astype(np.int64)
+                k, count = keys[own[i:j]], (last - first)[own[i:j]]
+                at = C.ragged_index(first[own[i:j]], count)
+                doc = np.repeat(np.arange(j - i), count)
+                # Behind its shingles a set that goes to buckets has its bands.
+                banded = np.zeros(j - i, bool)
+                banded[doc] = band_of[at] >= 0
+                ends = np.cumsum(size)
+                if banded.any():
+                    hashes = signatures(found, size, bands, rows)[np.cumsum(size > 0)[banded] - 1]
+                    found = np.insert(found, np.repeat(ends[banded], bands), hashes.reshape(-1))
+                whole_size = size + bands * banded
+                ends = np.cumsum(whole_size)
+                mine = (C.mix64(k[doc].view(np.uint64)) % blocks[at].view(np.uint64)).astype(np.int64)
                 # One copy for each block that the own one is paired with, itself included.
-                doc = np.repeat(np.arange(j - i), b)
-                other = C.ragged_index(np.zeros(j - i, np.int64), b)
-                lo, hi = np.minimum(mine[doc], other), np.maximum(mine[doc], other)
-                unit = C.mix64(r[doc].view(np.uint64) + C.mix64((lo * (1 << 31) + hi).view(np.uint64)))
-                begin = np.cumsum(size) - size
+                copies = np.repeat(np.arange(len(at)), blocks[at])
+                other = C.ragged_index(np.zeros(len(at), np.int64), blocks[at])
+                lo, hi = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
+                d, at, mine = doc[copies], at[copies], mine[copies]
+                unit = C.mix64(unit_of[at].view(np.uint64) + C.mix64((lo * (1 << 31) + hi + (band_of[at] + 1 << 56)).view(np.uint64)))
                 dest = C.dest_of(unit.view(np.int64), n)
                 order = np.argsort(dest, kind="stable")
-                d, doc, unit, lo, hi = dest[order], doc[order], unit[order], lo[order], hi[order]
-                ends = np.append(np.flatnonzero(np.diff(d)) + 1, len(d))
-                cells = [C._cells(x, ends) for x in (unit, k[doc], mine[doc] * 2 + (lo == hi), size[doc], (b[doc] > 1).astype(np.int8))]
-                cells.append(C._cells(C.ragged(found, begin[doc], size[doc]), np.cumsum(size[doc])[ends - 1]))
-                yield C.packed_rows(d[np.concatenate([[0], ends[:-1]])], SET, cells)
+                dest, d, unit, lo, hi, at, mine = (x[order] for x in (dest, d, unit, lo, hi, at, mine))
+                # Of a set without a band here, the bands stay behind.
+                take = np.where(band_of[at] >= 0, whole_size[d], size[d])
+                cuts = np.append(np.flatnonzero(np.diff(dest)) + 1, len(dest))
+                flags = (band_of[at] + 1) * 2 + ((blocks[at] > 1) | (band_of[at] >= 0))
+                cells = [C._cells(x, cuts) for x in (unit, k[d], mine * 2 + (lo == hi), size[d], flags.astype(np.int16))]
+                cells.append(C._cells(C.ragged(found, (ends - whole_size)[d], take), np.cumsum(take)[cuts - 1]))
+                yield C.packed_rows(dest[np.concatenate([[0], cuts[:-1]])], SET, cells)
 
     def verify(by: dict) -> Iterator[pa.RecordBatch]:
-        given = by[SET]
-        unit, key, side, size, many = (C.column(given, i, t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int8)))
+        given = by.pop(SET)
+        unit, key, side, size, flags = (C.column(given, i, t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int16)))
         data = C.column(given, 5, np.uint64)
-        begin = np.cumsum(size) - size
+        del given
+        many, band = flags & 1, (flags >> 1).astype(np.int64) - 1
+        begin = np.cumsum(size + bands * (band >= 0)) - (size + bands * (band >= 0))
         order = np.lexsort((key, unit))
         cuts = np.append(np.flatnonzero(np.append(True, unit[order][1:] != unit[order][:-1])), len(order))
         out: list[tuple[np.ndarray, ...]] = []
@@ -244,6 +283,10 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
             np.fill_diagonal(near, False)
             if not (side[own] & 1).all():  # a unit of two blocks: pairs within one are another unit's
                 near &= (side[own] >> 1)[:, None] != (side[own] >> 1)[None, :]
+            if band[own[0]] > 0:  # a pair that shares an earlier band is that bucket's
+                hashes = C.ragged(data, begin[own] + size[own], np.full(len(own), bands)).reshape(len(own), bands)
+                for h in hashes[:, : band[own[0]]].T:
+                    near &= h[:, None] != h[None, :]
             links = near.sum(1)
             hit = np.flatnonzero(links)
             if len(hit):
@@ -253,7 +296,7 @@ def near_duplicates(base: DataFrame, threshold: float = 0.8, width: int = 5, rec
             k, links, root, m = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(links.astype(np.int64)), pa.array(root), pa.array(m > 0)], ["rep", "links", "root", "many"])
 
-    told = C.in_arrow(members, tell, C.PACKED)
+    told = C.in_arrow(units, tell, C.PACKED)
     sent = C.meet(C.text_rows(base, n).unionByName(told), n, send, C.PACKED)
     found, _ = C.stored(C.meet(sent, n, verify, "rep long, links long, root long, many boolean"), "links")
     one = found.where("not many").select("rep", "links", "root")

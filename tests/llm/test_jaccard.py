@@ -96,3 +96,46 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_chained_candidates_cost_no_squares(spark):
+    """A chain of sets, each sharing a band with the next one only, goes to its buckets; a tight group goes to pairs of blocks."""
+    chain = [(i, [i // 2, (i + 1) // 2 + 10**6]) for i in range(4000)]
+    units = jaccard.candidate_units(spark.createDataFrame(chain, "rep long, bands array<long>"), 100).collect()
+    assert len(units) <= 2 * len(chain) and {r.blocks for r in units} == {1} and {r.band for r in units} == {0, 1}
+    tight = [(i, [7, 8, 9]) for i in range(1000)]
+    units = jaccard.candidate_units(spark.createDataFrame(tight, "rep long, bands array<long>"), 100).collect()
+    assert len(units) == 1000 and {(r.blocks, r.band) for r in units} == {(10, -1)}
+
+
+def test_links_of_large_chained_groups(spark, monkeypatch):
+    """Texts in a row, each with most of the one before: a few links each, in one group of candidates."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    docs, now = {}, [rng.choice(words) for _ in range(80)]
+    for k in range(300):
+        docs[k] = " ".join(now)
+        now = now[rng.choice((8, 10, 10)) :]
+        now += [rng.choice(words) for _ in range(80 - len(now))]
+    base = C.keyed(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    used = []
+    plain = jaccard.candidate_units
+    monkeypatch.setattr(jaccard, "candidate_units", lambda sets, block: used.append(plain(sets, block)) or used[-1])
+    got = {r.key: (r.class_key, r.n_copies, r.n_links) for r in jaccard.near_duplicates(base, block=3).collect()}
+    assert got == brute(docs)
+    assert used[0].where("band >= 0").count() > 0
+
+
+def test_recall_on_a_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = {r.doc_id: r.text for r in rows.collect()}
+    want, got = brute(docs), {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in jaccard.jaccard_join(rows).collect()}
+    linked = sum(w[2] for w in want.values())
+    assert linked > 0 and sum(got[k][2] for k in got) >= 0.9 * linked and all(got[k][2] <= want[k][2] for k in got)
+    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    d = spark.createDataFrame([(1, long, 1), (2, long + " x", 1), (3, "other words that are few", 1)], "doc_id long, text string, x int").withColumnRenamed("x", "Text")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_join(d).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
