@@ -25,9 +25,9 @@ def _number_udf():
 
 
 def quoted(text: Column) -> Column:
-    """A text as JSON."""
+    """A text as JSON; null for null."""
     whole = F.to_json(F.array(text))
-    return F.substring(whole, 2, F.length(whole) - 2)
+    return F.when(text.isNotNull(), F.substring(whole, 2, F.length(whole) - 2))
 
 
 def json_value(kind: str, x: Column, name: Column | None = None) -> Column:
