@@ -2,7 +2,7 @@
 
 A window of bytes goes through filters of two, three and four bytes over byte
 embeddings; the largest response of each filter feeds a softmax.  The network
-is trained on the driver on windows of a bounded sample of labelled texts.  For
+is trained on the driver on all windows of a bounded sample of labelled texts.  For
 prediction the embeddings are folded into the filters, so that a filter's
 response is a sum of table rows: one row per byte pair or byte.  Every window of
 a text is scored, and a text's score is the mean of its windows'.
@@ -22,7 +22,8 @@ from annalist.llm import common as C
 
 WIDTHS = (2, 3, 4)
 WINDOW = 128
-SAMPLE_ROWS = 3000
+#: The sample that is learned from: whole texts of at most so many bytes, so that the driver holds a bounded part of any corpus.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 16
 UNKNOWN = "und"
 
 
@@ -128,21 +129,20 @@ def scores(t: dict[str, np.ndarray], x: np.ndarray, block: int = 64) -> np.ndarr
     return out
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, window: int = WINDOW, per_text: int = 4) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Labels and tables, learned from at most ``sample_rows`` texts, chosen by a hash of doc_id, and ``per_text`` windows of each."""
-    learn = docs.where("learn and lang is not null and text <> ''")
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, window: int = WINDOW, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Labels and tables, learned from all windows of at most ``sample_rows`` texts of at most ``sample_bytes``, chosen by a hash of doc_id."""
+    learn = docs.where("learn and lang is not null and text <> ''").where(F.octet_length("text") <= sample_bytes)
     mark = F.xxhash64("doc_id", F.lit(17))
     # Only hashes are sorted; the texts of the few rows chosen are read after that.
     last = learn.select(mark.alias("m")).orderBy("m").limit(sample_rows).agg(F.max("m").alias("m")).first()["m"]
     if last is None:
         return [], {}
-    piece = F.expr(f"transform(sequence(0, {per_text - 1}), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), greatest(length(text) - {window}, 1)) as int), {window}))")
-    rows = learn.where(mark <= F.lit(last)).select("lang", piece.alias("pieces"), mark.alias("m")).orderBy("m").limit(sample_rows).collect()
+    rows = learn.where(mark <= F.lit(last)).select("lang", "text", mark.alias("m")).orderBy("m", "text").limit(sample_rows).collect()
     labels = sorted({r["lang"] for r in rows})
-    texts = [(p.encode()[:window], labels.index(r["lang"])) for r in rows for p in dict.fromkeys(r["pieces"])]
-    x = np.frombuffer(b"".join(t.ljust(window, b" ") for t, _ in texts), np.uint8).reshape(-1, window)
+    body = [r["text"].encode() for r in rows]
+    x, doc = windows(np.frombuffer(b"".join(body), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in body])]), window)
     net = ByteNet(labels)
-    net.fit(x, np.array([y for _, y in texts]))
+    net.fit(x, np.array([labels.index(r["lang"]) for r in rows])[doc], epochs=3)
     return labels, net.folded()
 
 
@@ -150,7 +150,7 @@ def language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, window: int = WIND
     """doc_id, held_out, lang_pred and score (mean probability of the label over the text's windows) per row.
 
     Learns only from rows with a lang whose crc32(doc_id as text) mod 3 is not 1,
-    at most ``sample_rows`` of them.  A text without a letter (null and empty
+    at most ``sample_rows`` of them, of at most SAMPLE_BYTES each.  A text without a letter (null and empty
     ones, too) is ``und`` with score 0, and so is every text if there is nothing
     to learn from.  Rows may repeat; each is predicted by itself.  A null doc_id
     counts as the empty text in the checksum.  An empty table gives an empty result.

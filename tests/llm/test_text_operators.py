@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.llm import html, langid, packing, quality, topk
 
@@ -165,13 +166,61 @@ def test_best_run():
         assert sum(v[a:b]) == max(sum(v[i:j]) for i in range(len(v) + 1) for j in range(i, len(v) + 1))
 
 
+def plain_scores(net, x):
+    """The network written down plainly: embed, slide each filter, take its largest response, softmax."""
+    out = []
+    for row in x:
+        e, h = net.p["e"][row], []
+        for w in langid.WIDTHS:
+            responses = np.stack([e[i : i + w].reshape(-1) @ net.p[f"w{w}"] for i in range(len(row) - w + 1)])
+            h.append(np.maximum(responses.max(0) + net.p[f"b{w}"], 0))
+        z = np.concatenate(h) @ net.p["o"] + net.p["c"]
+        q = np.exp(z - z.max())
+        out.append(q / q.sum())
+    return np.array(out)
+
+
+def test_language_is_a_plain_pass_over_all_windows(spark, monkeypatch):
+    net = langid.ByteNet(["aa", "bb", "cc"], 4, 3, seed=9)
+    monkeypatch.setattr(langid, "train", lambda *_: (net.labels, net.folded()))
+    texts = [t for t in documents(spark)[:40] if t] + ["x", "é" * 100, "words " * 20_000, "a" * 128, "b" * 129]
+    rows = spark.createDataFrame([(i, t, "aa", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, x int").withColumnRenamed("x", "TEXT")
+    for r in langid.language(rows).collect():
+        body = texts[r.doc_id].encode()
+        cut = [np.frombuffer(body[i : i + 128].ljust(128), np.uint8) for i in range(0, len(body), 128)]
+        mean = plain_scores(net, cut[:400]).mean(0) if len(cut) <= 400 else langid.scores(net.folded(), np.array(cut)).mean(0)
+        assert r.lang_pred == net.labels[mean.argmax()] and abs(r.score - mean.max()) < 1e-4
+
+
+def test_language_learns_from_whole_texts(spark, monkeypatch):
+    seen = []
+    fit = langid.ByteNet.fit
+    monkeypatch.setattr(langid.ByteNet, "fit", lambda self, x, y, **more: seen.append(x) or fit(self, x[:64], y[:64], epochs=1))
+    rows = spark.createDataFrame([(3 * i, f"{i} " + "text of some length " * 50, "ab"[i % 2]) for i in range(30)], "doc_id long, text string, lang string")
+    langid.train(rows.withColumn("learn", F.lit(True)))
+    assert len(seen[0]) == sum(-(-len(r.text) // 128) for r in rows.collect())
+
+
+def test_measures_of_long_texts_and_clashing_columns(spark):
+    long = "word " * 200_000 + "\n" + "é" * 100_000
+    rows = spark.createDataFrame([(1, long, "h", 1), (None, "a b", None, 1)], "doc_id long, text string, source string, x int").withColumnRenamed("x", "TEXT")
+    got = {r.doc_id: r for r in quality.quality(rows).collect()}
+    assert (got[1].n_words, got[1].word_chars, got[1].n_repeat_words) == (200_001, 900_000, 200_000) and got[1].base_failed
+    assert got[None].n_words == 2
+
+
+def test_packing_of_null_ids_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(None, "a b", 1), (2, None, 1)], "doc_id long, text string, x int").withColumnRenamed("x", "TEXT")
+    assert sorted(((r.doc_id, r.length) for r in packing.pack(rows, PATH).collect()), key=str) == [(2, 1), (None, 3)]
+
+
 @pytest.mark.parametrize("block", [8192, 3])
 def test_top_k_matches_all_pairs(spark, block):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 20)]) for i in range(300)]
     rows += [(300 + i, rows[50][1]) for i in range(20)] + [(400, None), (450, [1.0, None]), (500, [float("nan")] * 20), (550, [float("inf")] * 20), (600, [0.5] * 3), (650, [1.5] * 40), (700, [])]
     got = {}
-    data = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("Vec_ID", __import__("pyspark").sql.functions.lit(1)) if False else spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    data = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n", F.lit(1)).toDF("vec_id", "embedding", "Vec_ID"))
     for r in topk.top_k(data, data.where("vec_id % 50 = 0"), block=block).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     ints = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
@@ -179,6 +228,7 @@ def test_top_k_matches_all_pairs(spark, block):
         score = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in ints.items() if i != q)
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(score[:5])]
     assert set(got) == {i for i in ints if i % 50 == 0}
+    assert topk.top_k(data.limit(0), data.where("vec_id % 50 = 0")).collect() == [] and topk.top_k(data, data.limit(0)).collect() == []
 
 
 def test_top_k_prunes_before_exact_products():
