@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def vector_candidates(rows: DataFrame, query: list[float], k: int) -> DataFrame:
     return best.orderBy(F.desc("score"), "fact").limit(candidate_cap(k))
 
 
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """``rows`` (.., text) with v, the vector of each text, by a function of the caller that embeds a batch of texts; null texts have none."""
+    from annalist.shipping import ship
+
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = iter(embed([t for t in texts if t is not None]))
+            yield pd.Series([None if t is None else next(found) for t in texts], dtype=object)
+
+    return rows.withColumn("v", vectors("text"))
+
+
 def keyword_candidates(rows: DataFrame, text: str, k: int, corpus: DataFrame | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """fact, e, rank of the best fact per entity among (fact, e, text).
 

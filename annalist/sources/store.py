@@ -15,6 +15,7 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
@@ -36,6 +37,7 @@ from annalist.sources.keywords import KeywordIndex
 from annalist.sources.transact import _FIELDS, FIRST_TX, RESERVED, SYS, SYSTEM, Declared, Fact, Planner, check_attribute, check_name, without_entity
 
 LOG = "kind string, id bigint, e bigint, a bigint, t tinyint, i bigint, d double, s string, b binary, f array<float>, tx bigint, rx bigint, name string, event string, hash string, data string, operation string, request string"
+APPLICATION = "annalist"
 MIRROR_ROWS = 50_000
 _LOG_FIELDS = [x.split()[0] for x in LOG.split(", ")]
 
@@ -470,6 +472,18 @@ class Db:
             at = r["at"] if r else None
         return {"status": status, "event": event, "basis_tx": prior, "tx": tx, "at": at, "ids": ids, "asserted": [self._rendered(f) for f in asserted], "retracted": [self._rendered(f) for f in retracted]}
 
+    def remember(self, text: str, key: str | None = None, facts: dict | None = None, embed: Callable[[str], list[float]] | None = None, **options: Any) -> dict:
+        """Keep a note with its vector, if a function that embeds texts is given; a note with a key replaces the one before."""
+        record = {"id": key if key is not None else {"tmp": "note"}, **(facts or {}), "memory/text": text}
+        if embed is not None:
+            record["memory/embedding"] = {"vector": [float(x) for x in embed(text)]}
+        return self.transact(record, **options)
+
+    def recall(self, text: str, k: int = 10, embed: Callable[[str], list[float]] | None = None, **options: Any) -> dict:
+        """Search notes by keywords and, with the function that embedded them, by meaning."""
+        vector = [float(x) for x in embed(text)] if embed is not None else None
+        return self.search(text=text, vector=vector, vector_attribute="memory/embedding" if vector is not None else None, k=k, text_attributes=["memory/text"], **options)
+
     def declare(self, attribute: str, **declared: Any) -> dict:
         """Set declarations of an attribute (type, many, unique, nohistory, dims, doc, vector_model)."""
         check_attribute(attribute)
@@ -846,14 +860,15 @@ class Db:
         return self._system_write(add, drop, operation_id=operation_id, if_basis_tx=if_basis_tx, _request={"operation": "schema-apply", "manifest": wanted})
 
     def stats(self) -> dict:
-        """Exact counters of the store."""
+        """Exact counters of the store; ``size`` is the bytes of its present versions."""
         f, ids = self.facts(), self.ids()
         visible = temporal.visible(f, self.basis)
         named = ids.agg(F.count("*").alias("n"), F.count_if(F.col("name").rlike("^[a-z0-9][a-z0-9._-]*/[a-z0-9][a-z0-9._-]*$")).alias("a")).first()
         events = self.events().count()
         own = F.col("t").isin(V.VECTOR, V.TEXT_REF, V.BYTES_REF)
         counted = f.agg(F.count("*").alias("facts"), F.count_distinct(F.when(own, F.xxhash64("t", "s", "b", "f"))).alias("blobs")).first()
-        return {"format_version": 1, "entities": named["n"] - events, "attributes": named["a"], "facts": counted["facts"], "live_facts": visible.count(), "transactions": events, "blobs": counted["blobs"]}
+        size = sum(self._fs().getContentSummary(self._path("versions", v)).getLength() for v in self._versions or [])
+        return {"application_id": APPLICATION, "size": size, "format_version": 1, "entities": named["n"] - events, "attributes": named["a"], "facts": counted["facts"], "live_facts": visible.count(), "transactions": events, "blobs": counted["blobs"]}
 
     def doctor(self) -> list[dict]:
         """Violated invariants, each with a number of offending rows; an empty list is health."""
