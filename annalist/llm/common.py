@@ -87,10 +87,20 @@ def _remove_local(at: str) -> None:
     shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
 
 
+#: Tables in the shared folder that nobody has dropped yet, in the order in which they were made.
+made: list[str] = []
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder."""
+    made.append(f"{shared_dir(spark)}/annalist-{tag}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder, which cuts its lineage; the table read back, and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/annalist-{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -98,6 +108,8 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete tables of ``stored`` that no lazy result reads any more."""
     for path in paths:
+        if path in made:
+            made.remove(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -36,6 +36,7 @@ from annalist.llm.spans import span_hashes
 
 DEPTH = 5
 END, GAP = 10, 32
+HEADS = 16
 CHUNK = 1 << 20
 GRAMS, WORDS, ASKED, TREE, TOP, STAT, COUNTS, LENGTHS = range(1, 9)
 _HALF = math.log(0.5)
@@ -250,14 +251,28 @@ def ctw_score(docs: DataFrame) -> DataFrame:
                 yield C.packed_rows(dest[:1], TOP, [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in Tree(uniq, total, 2).top_rows(2)])
 
     table, _ = C.stored(C.meet(asked, n, gather, C.PACKED), "counts")
-    stats = [tuple(np.frombuffer(r[c], np.int64)[0] for c in ("c0", "c1", "c2")) for r in table.where(F.col("kind") == STAT).select("c0", "c1", "c2").toLocalIterator()]
-    n_words, ends, distinct = (int(sum(s[i] for s in stats)) for i in range(3))
+    none = (np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3)))
+
+    def summed(tops: Iterable[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        total = none
+        for part in tops:
+            total = _sums(*(np.concatenate([x, y]) for x, y in zip(total, part, strict=True)))
+        return total
+
+    def top_of(row) -> tuple[np.ndarray, ...]:
+        return (np.frombuffer(row[0], np.int64), *(np.frombuffer(row[i], np.float64) for i in range(1, 4)))
+
+    def combine(by: dict) -> Iterator[pa.RecordBatch]:
+        if STAT in by:
+            yield C.packed_rows(np.array([0]), STAT, [pa.array([C.column(by[STAT], i, np.int64).sum(keepdims=True).tobytes()], pa.binary()) for i in range(3)])
+        if TOP in by:
+            yield C.packed_rows(np.array([0]), TOP, [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in summed(top_of(row) for row in by[TOP])])
+
+    # At most 65,280 nodes (2 MB) come from a bucket's task; a few tasks sum them before the driver does.
+    heads = C.meet(table.where(F.col("kind").isin(STAT, TOP)).withColumn("dest", F.pmod("dest", F.lit(HEADS))), HEADS, combine, C.PACKED).select("kind", "c0", "c1", "c2", "c3").collect()
+    n_words, ends, distinct = (sum(int(np.frombuffer(r[1 + i], np.int64)[0]) for r in heads if r["kind"] == STAT) for i in range(3))
     train_tokens, vocabulary = n_words + ends, distinct + (ends > 0)
-    # At most 65,280 nodes come from each bucket's task; they are summed as they arrive.
-    one = (np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3)))
-    for r in table.where(F.col("kind") == TOP).select("c0", "c1", "c2", "c3").toLocalIterator():
-        part = (np.frombuffer(r.c0, np.int64), *(np.frombuffer(r[c], np.float64) for c in ("c1", "c2", "c3")))
-        one = _sums(*(np.concatenate([x, y]) for x, y in zip(one, part, strict=True)))
+    one = summed(top_of(r[1:]) for r in heads if r["kind"] == TOP)
     lw, weight = weigh(one[:3], one[3])
     zero = _sums(up(one[0]), one[1], one[2], lw)
     head = spark.sparkContext.broadcast({1: (*one[:3], weight), 0: (*zero[:3], weigh(zero[:3], zero[3])[1])})

@@ -15,7 +15,6 @@ exactly in the smallest document that holds it.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +80,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 3) -> None:
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.runs: list[tuple[int, str]] = []  # level, table
+        self.paths: dict[str, str] = {}
 
     def add(self, rows: DataFrame) -> None:
         """Keep the lines of a batch (h1, h2, key) that no run has, as a run of their own."""
@@ -101,26 +101,28 @@ class LineRuns:
                 self.drop(run)
 
     def _write(self, level: int, rows: DataFrame) -> None:
-        run = f"annalist_run_{uuid.uuid4().hex}"
+        path = C.new_path(self.spark, "run")
+        run = f"annalist_run_{path[-32:]}"
         # One file a bucket, sorted: Spark may rely on that order where it reads a run.
         sorted_scan = "spark.sql.legacy.bucketedTableScan.outputOrdering"
         before = self.spark.conf.get(sorted_scan)
         self.spark.conf.set(sorted_scan, "true")
         try:
-            rows.select("h1", "h2", "key").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{C.shared_dir(self.spark)}/{run}").saveAsTable(run)
+            rows.select("h1", "h2", "key").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(run)
         finally:
             self.spark.conf.set(sorted_scan, before)
         self.runs.append((level, run))
+        self.paths[run] = path
 
     def drop(self, run: str) -> None:
         self.spark.sql(f"DROP TABLE {run}")  # forgets the table; its files are in the shared folder
-        C.dropped(self.spark, f"{C.shared_dir(self.spark)}/{run}")
+        C.dropped(self.spark, self.paths.pop(run))
 
     def owners(self) -> DataFrame:
         """h1, h2 and key of every line seen, by its first document; the tables are forgotten, their files stay for the result."""
         out = None
         for _, run in self.runs:
-            rows = self.spark.read.schema("h1 long, h2 long, key long").parquet(f"{C.shared_dir(self.spark)}/{run}")
+            rows = self.spark.read.schema("h1 long, h2 long, key long").parquet(self.paths[run])
             out = rows if out is None else out.unionByName(rows)
             self.spark.sql(f"DROP TABLE {run}")
         self.runs = []
@@ -182,7 +184,7 @@ def dedup_lines(base: DataFrame, min_chars: int = 10, batches: int | None = None
     marks = [i / batches for i in range(1, batches)]
     at = base.select(F.percentile_approx("key", marks, 1000).alias("at")).first()["at"] if marks else []
     bounds = sorted(set(at or []))
-    path = f"{C.shared_dir(spark)}/annalist-lines-{uuid.uuid4().hex}"
+    path = C.new_path(spark, "lines")
     line_rows(base, bounds, min_chars).write.partitionBy("turn").parquet(path)
     rows = spark.read.schema("h1 long, h2 long, key long, turn int").parquet(path)
     index = LineRuns(spark, n, fanout)

@@ -65,10 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each one's result is written to the shared folder and read again."""
+    """Apply all stages to ``documents``; each one's result is written to the shared folder and read again.
+
+    What a stage has written on its way, and the result that it read, are deleted
+    once its own result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        before = set(C.made) - ({path} if i else set())
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs, _ = C.stored(docs, name)
+            docs, path = C.stored(docs, name)
+            C.dropped(spark, *(p for p in list(C.made) if p not in before and p != path))
     return docs
