@@ -184,7 +184,7 @@ def history_added_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user(temporal.datoms(_last_type(spark, sf_dir)), "v", "tx", "added")
 
 
-ask("history_source", _FOLD + "SELECT 'user:' || user_id AS u, v AS t, false AS added, count(*) AS count_tx FROM f WHERE rx IS NOT NULL GROUP BY 1, 2", ["?u", "?t", ["count", "?tx"]], [["?u", "user/last-type", "?t", "?tx", False]], source="history", then=lambda df: df.withColumn("added", F.lit(False)))
+ask("history_source", _FOLD + "SELECT 'user:' || user_id AS u, v AS t, false AS added, count(*) AS count_tx FROM f WHERE rx IS NOT NULL GROUP BY 1, 2", ["?u", "?t", "?added", ["count", "?tx"]], [["?u", "user/last-type", "?t", "?tx", "?added"], ["=", "?added", False]], source="history")
 
 
 @register(_FOLD + f"SELECT 'asserted' AS side, user_id, v, tx AS at FROM f WHERE tx > {MID} AND tx <= {LATE} UNION ALL SELECT 'retracted', user_id, v, rx FROM f WHERE rx > {MID} AND rx <= {LATE}")

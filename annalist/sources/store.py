@@ -336,7 +336,7 @@ class Db:
         rows = self._rows(history).where(F.col("a") == a)
         if entity is not None:
             rows = rows.where(F.col("e") == entity)
-        tags = [r["t"] for r in rows.select("t").distinct().collect()]
+        tags = self._once(("tags", a, history, entity), lambda: [r["t"] for r in rows.select("t").distinct().collect()])
         kinds = {V.KIND_OF_TAG[t] for t in tags}
         if not kinds:
             return None
