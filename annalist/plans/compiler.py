@@ -298,6 +298,67 @@ class Compiler:
         df, kinds = aligned(parts)
         return Relation(df.select(*(F.col(f"v_a{i}").alias(f"a{i}") for i in range(len(kinds)))).distinct(), tuple(kinds.values()))
 
+    # ------------------------------------------------------------ what a recursive rule is asked for
+
+    def wanted(self, rule: str, own: list[ast.Rule], again: list[ast.Rule], kinds: tuple[str, ...]) -> tuple[int, DataFrame | Column] | None:
+        """(argument, its values) that calls of a recursive rule can need, where all of them give that argument the same constant.
+
+        An argument that recursion hands on unchanged keeps the constant.  Else
+        the values are followed through the bodies, from the constant on, until
+        no new ones come; only rows with one of them are ever derived.
+        """
+        calls = [c for body in (self.query.where, *(r.body for r in self.query.rules if r.name != rule)) for c in ast.calls_of(body) if c.name == rule]
+        inner = [(r, [c for c in r.body if isinstance(c, ast.Call) and c.name == rule]) for r in again]
+        if not calls or any(len(found) != ast._calls(r.body).count(rule) for r, found in inner):
+            return None  # it calls itself below a negation or an alternative
+        for i, kind in enumerate(kinds):
+            terms = {repr(c.args[i]) for c in calls}
+            term = calls[0].args[i]
+            if len(terms) != 1 or ast.is_variable(term) or term == "_" or kind == "any":
+                continue
+            value = self.entity(term) if kind == "ref" else self.constant(term)[1]
+            if value is None or (kind != "ref" and self.constant(term)[0] != kind):
+                continue
+            if all(c.args[i] == r.args[i] for r, found in inner for c in found):
+                return i, F.col(f"a{i}") == V.literal(kind, value)
+            if followed := self.followed(rule, i, kind, value, inner):
+                return i, followed
+        return None
+
+    def followed(self, rule: str, i: int, kind: str, value: Any, inner: list[tuple[ast.Rule, list[ast.Call]]]) -> DataFrame | None:
+        steps = []
+        for r, found in inner:
+            rest = tuple(c for c in r.body if c not in found)
+            if len(found) != 1 or ast._calls(rest) or not ast.is_variable(found[0].args[i]) or found[0].args[i] not in {v for c in rest if isinstance(c, ast.Pattern) for v in c.variables()}:
+                return None
+            steps.append((rest, r.args[i], found[0].args[i]))
+        new = self.spark.range(1).select(V.literal(kind, value).alias("w"))
+        parts = [new]
+        while True:
+            found = None
+            for rest, head, called in steps:
+                b = self.body(rest, Bindings(new.select(F.col("w").alias(name(head))), {head: kind}))
+                if b.kinds[called] != kind:
+                    return None
+                rows = b.df.select(b.col(called).alias("w"))
+                found = rows if found is None else found.unionByName(rows)
+            known = parts[0]
+            for more in parts[1:]:
+                known = known.unionByName(more)
+            new = stored(found.distinct().join(known, "w", "left_anti"), "wanted")
+            if new.isEmpty():
+                return known
+            parts.append(new)
+            if len(parts) > 8:
+                parts = [stored(known.unionByName(new), "wanted")]
+
+    @staticmethod
+    def only(r: Relation, wanted: tuple[int, DataFrame | Column] | None) -> Relation:
+        if wanted is None:
+            return r
+        i, values = wanted
+        return replace(r, df=r.df.where(values) if isinstance(values, Column) else r.df.join(values, r.df[f"a{i}"] == values["w"], "left_semi"))
+
     def build_rules(self) -> None:
         """All rules, callees first; a rule that calls itself is iterated to its fixpoint, new rows only.
 
@@ -314,7 +375,8 @@ class Compiler:
             if not again:
                 self.relations[rule] = total
                 continue
-            delta = Relation(stored(total.df, "rule"), total.kinds)
+            wanted = self.wanted(rule, own, again, total.kinds)
+            delta = Relation(stored(self.only(total, wanted).df, "rule"), total.kinds)
             parts = [delta.df]
             linear = all(ast._calls(r.body).count(rule) == 1 for r in again)
             while not delta.df.isEmpty():
@@ -327,7 +389,7 @@ class Compiler:
                 if found.kinds != total.kinds:
                     raise QueryError(f"the bodies of rule {rule} bind values of different kinds")
                 columns = [f"a{i}" for i in range(len(total.kinds))]
-                delta = Relation(stored(found.df.join(known, columns, "left_anti"), "rule"), total.kinds)
+                delta = Relation(stored(self.only(found, wanted).df.join(known, columns, "left_anti"), "rule"), total.kinds)
                 parts.append(delta.df)
                 if len(parts) > 8:
                     parts = [stored(known.unionByName(delta.df), "rule")]

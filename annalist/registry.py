@@ -146,6 +146,9 @@ ask("rule_recursive", "SELECT 'conversations:' || a.conv_id || '-' || a.turn AS
 ask("rule_recursive_cyclic", "WITH RECURSIVE e AS (SELECT p_partkey AS x, p_partkey - p_partkey % 8 + (p_partkey + 1) % 8 AS y FROM part WHERE p_partkey - p_partkey % 8 + (p_partkey + 1) % 8 IN (SELECT p_partkey FROM part)), r AS (SELECT x, y FROM e UNION SELECT e.x, r.y FROM e JOIN r ON e.y = r.x) SELECT 'part:' || x AS x, count(*) AS count_y FROM r GROUP BY 1",
     ["?x", ["count", "?y"]], [{"rule": ["reach", "?x", "?y"]}], rules=_reach("part/next"))
 
+ask("rule_recursive_from", "SELECT 'part:' || p_partkey AS y FROM part WHERE p_partkey BETWEEN 8 AND 15", ["?y"], [{"rule": ["reach", {"ref": "part:9"}, "?y"]}], rules=_reach("part/next"))
+ask("rule_recursive_to", "SELECT 'part:' || p_partkey AS x FROM part WHERE p_partkey BETWEEN 8 AND 15", ["?x"], [{"rule": ["reach", "?x", {"ref": "part:9"}]}], rules=_reach("part/next"))
+
 # ---------------------------------------------------------------- time
 
 _FOLD = "WITH c AS (SELECT user_id, epoch_us(ts) AS tx, event_type AS v FROM events), k AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY tx) AS p FROM c), f AS (SELECT user_id, v, tx, lead(tx) OVER (PARTITION BY user_id ORDER BY tx) AS rx FROM k WHERE p IS NULL OR p <> v) "

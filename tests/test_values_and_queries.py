@@ -141,3 +141,18 @@ def test_registered_query(spark, oracle, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 25
+
+
+def test_recursion_from_a_constant_derives_only_what_is_asked(spark, monkeypatch):
+    from annalist.plans import compiler
+    from annalist.plans.query import run
+    from annalist.sources.tables import TableSource
+
+    sizes, write = [], compiler.stored
+    monkeypatch.setattr(compiler, "stored", lambda df, tag: sizes.append((tag, (out := write(df, tag)).count())) or out)
+    rules = [{"head": ["reach", "?x", "?y"], "body": [["?x", "part/next", "?y"]]}, {"head": ["reach", "?x", "?z"], "body": [["?x", "part/next", "?y"], {"rule": ["reach", "?y", "?z"]}]}]
+    for where in ([{"rule": ["reach", {"ref": "part:9"}, "?y"]}], [{"rule": ["reach", "?y", {"ref": "part:9"}]}]):
+        sizes.clear()
+        got = run(TableSource(spark, "/root/testdata/sf0.001"), {"find": ["?y"], "where": where, "rules": rules}).collect()
+        assert sorted(r["y"] for r in got) == sorted(f"part:{k}" for k in range(8, 16))
+        assert max(n for _, n in sizes) <= 64  # the eight parts of one ring; the whole closure has 1,600 rows
