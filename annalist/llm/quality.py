@@ -21,8 +21,8 @@ from annalist.llm import common as C
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Hosts up to this number are broadcast (about 100 bytes each); more are joined by a salted shuffle.
-BROADCAST_HOSTS = 20_000
+#: Host verdicts of up to so many bytes (names and 64 bytes each) are broadcast; more are joined by a salted shuffle.
+BROADCAST_BYTES = 4 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -112,7 +112,8 @@ def host_verdicts(rules: DataFrame, most: float = 0.5) -> DataFrame:
 def judged(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     """``rows`` with source, and the columns rate and bad of its host."""
     own = hosts.select(F.col("source").alias("__host"), "rate", "bad")
-    if hosts.count() <= BROADCAST_HOSTS:
+    size = hosts.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(own), rows["source"].eqNullSafe(own["__host"]), "left").drop("__host")
     salts = F.lit(64)
     own = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))

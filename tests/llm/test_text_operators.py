@@ -100,7 +100,7 @@ def test_hosts_beyond_the_broadcast_limit(spark, monkeypatch):
     rows = [(i, " ".join(f"w{i}_{j}" for j in range(30)) if i % 4 else "x", f"h{i % 9}" if i % 5 else None) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     near = sorted(map(tuple, quality.quality(docs).collect()), key=str)
-    monkeypatch.setattr(quality, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, quality.quality(docs).collect()), key=str) == near
 
 
