@@ -7,6 +7,9 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,30 @@ from annalist.llm.quality import quality_filter
 from annalist.llm.queries import tokenizer_path
 from annalist.llm.suffix import dedup_passages
 
+_left: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the one before it wrote on its way, since its result is in ``docs`` by now; what ``docs`` itself reads stays."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _left else []
+        done = [p for p in _left if not any(p.rsplit("/", 1)[1] in f for f in files)]
+        C.dropped(spark, *done)
+        before = set(C.made)
+        out = work(spark, docs, sf_dir)
+        _left[:] = [p for p in _left if p not in done] + [p for p in C.made if p not in before]
+        return out
+
+    return run_stage
+
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = ("lang", "source", "n_chars")
 
 
+@stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, with those of condemned hosts."""
     return quality_filter(C.pick(docs, *COLUMNS))
@@ -33,12 +56,14 @@ def _with_text(base: DataFrame, texts: DataFrame) -> DataFrame:
     return rest.join(texts, "key").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document with a smaller doc_id has go; every document stays."""
     base = C.keyed(docs, carry=REST)
     return _with_text(base, dedup_lines(base).select("key", "text"))
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays."""
     base = C.keyed(docs, carry=REST)
@@ -46,12 +71,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return base.join(first, "key", "left_semi").select(*COLUMNS)
 
 
+@stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes that start earlier in the table go, by whole characters; every document stays."""
     base = C.keyed(docs, carry=REST)
     return _with_text(base, dedup_passages(base, whole_characters=True).select("key", F.col("kept").cast("string").alias("text")))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 ids."""
     out = pack(docs, tokenizer_path())
@@ -67,14 +94,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each one's result is written to the shared folder and read again.
 
-    What a stage has written on its way, and the result that it read, are deleted
-    once its own result is written.
+    A result goes once the next one is written, and what a stage wrote on its way when the next one begins.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        before = set(C.made) - ({path} if i else set())
-        docs = stage(spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for i, (name, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs, path = C.stored(docs, name)
-            C.dropped(spark, *(p for p in list(C.made) if p not in before and p != path))
+            C.dropped(spark, *before)
+            before = [path]
     return docs
