@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from annalist.shipping import ship
 
 #: Fixed values of the public BM25 of SQLite's FTS5.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS, TEXT_BYTES = 12, 2048
 _WORD = r"[\p{L}\p{N}_]+"
 _PART = r"[\p{L}\p{N}\p{Co}]+"
+_BETWEEN = r"[^\p{L}\p{N}\p{Co}]+"
+#: Bytes of text whose tokens are counted at once.
+_PIECE = 4 << 20
 
 
 def _folded(text: Column) -> Column:
     """Lower case, without diacritics that decompose."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz")
-    return F.regexp_replace(plain, r"\p{Mn}", "")
+    low = F.lower(text)
+    plain = F.translate(low, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz")
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(plain, r"\p{Mn}", ""))  # ASCII has none
 
 
 def tokens(text: Column) -> Column:
@@ -28,6 +40,56 @@ def query_terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), tokens)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some megabytes of text at a time."""
+    turn = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False), dtype=np.int64) // _PIECE
+    edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (fact, words) the rows of ``counted``, ordered by term within a piece, so that they compress where they are moved."""
+    for batch in batches:
+        for piece in _pieces(batch):
+            rows, words = piece.num_rows, piece.column("words")
+            split = pc.split_pattern(words, " ")  # of a text without tokens: one empty word
+            lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(split.flatten())
+            order = pc.array_sort_indices(coded.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            key, tf = np.unique(place[coded.indices.to_numpy()] * rows + np.repeat(np.arange(rows), lengths), return_counts=True)
+            term, text = np.divmod(key, rows)
+            head = np.zeros(len(key), bool)
+            head[np.unique(text, return_index=True)[1]] = True
+            none = pc.equal(words, "").to_numpy(zero_copy_only=False)
+            names = coded.dictionary.take(order)
+            names = pc.if_else(pc.equal(names, ""), pa.scalar(None, names.type), names)
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(term)), piece.column("fact").take(pa.array(text)), pa.array(np.where(none[text], 0, tf)), pa.array(np.where(none, 0, lengths)[text].astype(np.int32)), pa.array(head)],
+                names=["term", "fact", "tf", "dl", "head"],
+            )
+
+
+def counted(facts: DataFrame) -> DataFrame:
+    """term, fact, tf, dl, head of (fact, text): how often a term is in a text of dl tokens.
+
+    One row of each text is its head; that of a text without tokens, or of a null
+    text, has no term.  A text is counted by itself, so no row is moved; only
+    where facts are null or repeated, their rows are summed over a shuffle.
+    """
+    ship(facts.sparkSession)
+    spaced = F.trim(F.regexp_replace(_folded(F.coalesce("text", F.lit(""))), _BETWEEN, " "))
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("fact", facts.schema["fact"].dataType), T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType()), T.StructField("head", T.BooleanType())])
+    rows = facts.select("fact", spaced.alias("words")).mapInArrow(_count, out)
+    seen = facts.agg(F.count("*").alias("n"), F.count_distinct("fact").alias("d")).first()
+    if seen["n"] == seen["d"]:
+        return rows
+    return rows.groupBy("term", "fact").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.max("head").alias("head"))
+
+
 def postings(facts: DataFrame) -> DataFrame:
     """term, fact, tf, dl of (fact, text)."""
     split = facts.select("fact", tokens(F.col("text")).alias("ts"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.functions.text import K1, LEAST_IDF, B, query_terms, tokens
+from annalist.functions.text import K1, LEAST_IDF, B, counted, query_terms, tokens
 from annalist.storage import read_bytes
 
 #: A term in very many texts is written by this many tasks.
@@ -33,12 +33,10 @@ class KeywordIndex:
         """Index the texts of (fact, text) under ``path``, in a bucket for every 64 MB that they are read from; null texts have no tokens."""
         spark = facts.sparkSession
         buckets = buckets or max(4, math.ceil(read_bytes(facts) / (64 << 20)))
-        split = facts.select("fact", tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-        # The row with a text's first token counts for the text, and so does that of a text without tokens.
-        each = split.select("fact", F.size("ts").alias("dl"), F.posexplode_outer("ts").alias("pos", "term"))
-        rows = each.groupBy("fact", "term").agg(F.count("term").alias("tf"), F.first("dl").alias("dl"), F.max(F.coalesce("pos", F.lit(0)) == 0).alias("head"))
-        rows = rows.withColumn("bucket", _bucket(F.coalesce("term", F.lit("")), buckets))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("fact"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "fact")
+        bucket = _bucket(F.coalesce("term", F.lit("")), buckets)
+        # The only shuffle; each row computes its bucket again behind it, which is not sent.
+        dealt = counted(facts.select("fact", "text")).repartition(bucket, F.pmod(F.xxhash64("fact"), F.lit(SALTS)))
+        dealt = dealt.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "fact")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         heads = spark.read.schema("dl int, head boolean").parquet(f"{path}/postings").where("head")
         heads.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
