@@ -66,7 +66,7 @@ def test_an_index_is_dealt_once(spark, tmp_path, monkeypatch):
     assert index.n == known.count()
 
 
-@pytest.mark.parametrize("name", ["bm25_rank"])
+@pytest.mark.parametrize("name", ["bm25_rank", "hybrid_rrf"])
 def test_queries_deal_their_index_once(spark, tmp_path, monkeypatch, name):
     at = tmp_path / name  # no index is kept for this path yet
     at.symlink_to("/root/testdata/sf0.001")
