@@ -92,8 +92,7 @@ def counted(facts: DataFrame) -> DataFrame:
 
 def postings(facts: DataFrame) -> DataFrame:
     """term, fact, tf, dl of (fact, text)."""
-    split = facts.select("fact", tokens(F.col("text")).alias("ts"))
-    return split.select("fact", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "fact").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return counted(facts).where("term IS NOT NULL").select("term", "fact", "tf", "dl")
 
 
 def bm25(facts: DataFrame, query: str) -> DataFrame:

@@ -348,7 +348,7 @@ def bm25_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS term FROM ({_TOKENS})) GROUP BY term")
 def postings_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(_texts(spark, sf_dir).select("fact", "text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("n"))
+    return postings(_texts(spark, sf_dir).select("fact", "text")).groupBy("term").agg(F.count("fact").alias("df"), F.sum("tf").cast("long").alias("n"))
 
 
 @register(_BM25 + f""", k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY rank, doc_id) AS p FROM r QUALIFY p <= 50),

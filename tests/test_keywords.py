@@ -9,7 +9,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from annalist import registry
 from annalist.functions import text
-from annalist.functions.text import bm25, counted, tokens
+from annalist.functions.text import bm25, counted, postings, tokens
 from annalist.sources.keywords import KeywordIndex
 
 ODD = [
@@ -39,13 +39,22 @@ def test_postings_of_odd_texts(spark, monkeypatch, piece):
 
     monkeypatch.setattr(text, "_count", smaller)
     facts = spark.createDataFrame([(i * 7, t) for i, t in enumerate(ODD)], "fact long, text string")
-    found = counted(facts).where("term IS NOT NULL").select("term", "fact", "tf", "dl")
+    found = postings(facts)
     assert sorted(map(tuple, found.collect())) == plainly(facts)
     heads = {r.fact: (r.dl, r.term) for r in counted(facts).where("head").collect()}
     assert counted(facts).where("head").count() == len(heads) == len(ODD)
     assert [heads[7 * i] for i in (2, 3, 4)] == [(0, None)] * 3
 
 
+def test_postings_move_no_rows(spark):
+    facts = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "fact long, text string")
+    assert exchanges(postings(facts)) == 0
+
+
+def test_an_empty_table_has_no_postings(spark):
+    assert postings(spark.createDataFrame([], "fact long, text string")).collect() == []
+
+
 def test_an_index_is_dealt_once(spark, tmp_path, monkeypatch):
     plans = {}
     real = DataFrameWriter.parquet
@@ -66,6 +75,13 @@ def test_an_index_is_dealt_once(spark, tmp_path, monkeypatch):
     assert index.n == known.count()
 
 
+def test_terms_of_repeated_documents(spark, tmp_path):
+    rows = [(1, "a b a"), (1, "b c"), (2, "a"), (None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["postings_by_term"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("a", 2, 4), ("b", 1, 2), ("c", 1, 1)]
+
+
 @pytest.mark.parametrize("name", ["bm25_rank", "hybrid_rrf"])
 def test_queries_deal_their_index_once(spark, tmp_path, monkeypatch, name):
     at = tmp_path / name  # no index is kept for this path yet
