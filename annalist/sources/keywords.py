@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from annalist.functions.text import K1, LEAST_IDF, B, counted, query_terms, tokens
+from annalist.functions.text import K1, LEAST_IDF, B, apart, counted, query_terms, runs, tokens, unpacked
 from annalist.storage import read_bytes
 
 #: A term in very many texts is written by this many tasks.
@@ -34,8 +35,12 @@ class KeywordIndex:
         spark = facts.sparkSession
         buckets = buckets or max(4, math.ceil(read_bytes(facts) / (64 << 20)))
         bucket = _bucket(F.coalesce("term", F.lit("")), buckets)
-        # The only shuffle; each row computes its bucket again behind it, which is not sent.
-        dealt = counted(facts.select("fact", "text")).repartition(bucket, F.pmod(F.xxhash64("fact"), F.lit(SALTS)))
+        facts = facts.select("fact", "text")
+        # The only shuffle, into as many tasks as the input asks for; each row computes its bucket again behind it, which is not sent.
+        if facts.schema["fact"].dataType == LongType() and apart(facts):
+            dealt = unpacked(runs(facts, SALTS).repartition(buckets * SALTS, bucket, "salt"), facts)
+        else:
+            dealt = counted(facts).repartition(bucket, F.pmod(F.xxhash64("fact"), F.lit(SALTS)))
         dealt = dealt.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "fact")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         heads = spark.read.schema("dl int, head boolean").parquet(f"{path}/postings").where("head")

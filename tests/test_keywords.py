@@ -10,7 +10,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 from annalist import registry
 from annalist.functions import text
 from annalist.functions.text import bm25, counted, postings, tokens
-from annalist.sources.keywords import KeywordIndex
+from annalist.sources.keywords import SALTS, KeywordIndex
 
 ODD = [
     "the ered the", "THE Ered. the-ered,the", "", None, " \t\n..!", "Café cafe CAFÉ ́ ́x", "Über über über uber", "İstanbul Ǆ ΣΣ σς", "a b c​d\x00e a b",
@@ -96,3 +96,53 @@ def test_queries_deal_their_index_once(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(DataFrameWriter, "parquet", noted)
     assert registry.QUERIES[name](spark, str(at)).count() > 0
     assert plans["postings"] == 1
+
+
+@pytest.mark.parametrize("piece", [1, 40, 4 << 20])
+def test_runs_hold_the_counted_rows(spark, monkeypatch, piece):
+    pack, unpack = text._pack, text._unpack
+
+    def smaller_pack(batches, salts):
+        text._PIECE = piece
+        yield from pack(batches, salts)
+
+    def smaller_unpack(batches):
+        text._PIECE = piece
+        yield from unpack(batches)
+
+    monkeypatch.setattr(text, "_pack", smaller_pack)
+    monkeypatch.setattr(text, "_unpack", smaller_unpack)
+    ids = [0, -1, 2**63 - 1, -(2**63), 7, 255, 256]
+    facts = spark.createDataFrame([(i, t) for i, t in enumerate(ODD, 1000)] + [(i, "the the b") for i in ids], "fact long, text string").coalesce(2)
+    moved = text.runs(facts, 3).repartition(2, "term")
+    found = text.unpacked(moved, facts)
+    assert found.schema == counted(facts).schema
+    assert set(found.collect()) == set(counted(facts).collect())
+    assert found.count() == counted(facts).count()
+    assert {r.salt for r in moved.collect()} <= {0, 1, 2}
+    if piece > 40:
+        assert moved.count() < found.count()
+
+
+def test_the_tasks_of_an_index_grow_with_its_texts(spark, tmp_path, monkeypatch):
+    """hybrid_rrf's index: rows of many postings are dealt, by the number of buckets and not by a session's number of partitions, beyond which tasks spill."""
+    at = tmp_path / "tables"
+    at.symlink_to("/root/testdata/sf0.001")
+    plans = {}
+    real = DataFrameWriter.parquet
+
+    def noted(self, path, *a, **b):
+        plans[path.rsplit("/", 1)[1]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return real(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    registry.QUERIES["hybrid_rrf"](spark, str(at)).collect()
+    exchange = next(x for x in plans["postings"].splitlines() if "Exchange " in x)
+    assert f", {4 * SALTS}), REPARTITION_BY_NUM" in exchange
+    assert "packed" in plans["postings"].split("Exchange ")[1]
+
+
+def test_an_index_of_null_or_repeated_facts(spark, tmp_path):
+    facts = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "a"), (None, "a")], "fact long, text string")
+    index = KeywordIndex.build(facts, f"{tmp_path}/index")
+    assert sorted(map(tuple, index.of(["a", "b", "c"]).select("term", "fact", "tf").collect()), key=str) == [("a", 1, 2), ("a", 2, 1), ("a", None, 1), ("b", 1, 2), ("c", 1, 1)]
